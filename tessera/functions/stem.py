@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 VOWELS = "aeiouy"
 DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
@@ -121,7 +122,7 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem_udf(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in words:
         yield s.map(lambda w: stem(w) if isinstance(w, str) else None)

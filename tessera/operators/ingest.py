@@ -38,12 +38,16 @@ def director_names(crew: Column) -> Column:
     return F.array_join(F.transform(kept, lambda c: c["name"]), ", ")
 
 
-def detail_projection(details: DataFrame, url_prefix: str = "https://films.example/title/") -> DataFrame:
-    """Flat fields of a detail record: directors joined, the first ten cast names, genre names, one imdb id, year, URL."""
+def detail_projection(details: DataFrame, url_prefix: str = "https://films.example/title/", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Flat fields of a detail record: directors joined, the first ten cast names, genre names, one imdb id, year, URL.
+
+    Columns named in ``keep`` are passed on as they are.
+    """
     names = lambda a: F.transform(F.coalesce(a, F.array()), lambda x: x["name"])
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return details.select(
+        *keep,
         "tmdb_id",
         blank("title").alias("title"),
         blank("original_title").alias("original_title"),
