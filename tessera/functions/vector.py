@@ -30,4 +30,5 @@ def literal(vector: Sequence[float]) -> Column:
 
 
 def clamp01(score: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+    """Between 0 and 1; null stays null (``least`` alone would skip it)."""
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
