@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cooccur, distinctive, leaks, packing, rankfusion
+from tessera.llm import cooccur, distinctive, encoding, leaks, packing, rankfusion, residue, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,3 +121,41 @@ def _(spark, d):
 def _(spark, d):
     cleaned = leaks.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"), min_words=10)
     return cleaned.where(F.col("removed") > 0).select("doc_id", "removed", "text")
+
+
+def readable(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    """``found`` without the rows that are residue."""
+    bad = residue.find_residue(table(spark, d, "documents")).select("doc_id").distinct()
+    return found.join(bad, "doc_id", "left_anti")
+
+
+@query("p4_found")
+def _(spark, d):
+    docs = table(spark, d, "documents").where(F.length(F.trim("text")) > 0)  # rows without text hold nothing that could be cut off
+    return readable(spark, d, truncation.find_truncated(docs).select("doc_id"))
+
+
+@query("p4_rates")
+def _(spark, d):
+    found = QUERIES["p4_found"](spark, d)
+    return truncation.rates(table(spark, d, "documents"), found)
+
+
+@query("p5_found")
+def _(spark, d):
+    return residue.find_residue(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+@query("p5_reasons")
+def _(spark, d):
+    return residue.find_residue(table(spark, d, "documents")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p10_found")
+def _(spark, d):
+    return encoding.repair(table(spark, d, "documents"), table(spark, d, "lang_sample")).select("doc_id").distinct()
+
+
+@query("p10_restored")
+def _(spark, d):
+    return encoding.repair(table(spark, d, "documents"), table(spark, d, "lang_sample")).select("doc_id", "chain", "places", "lost", "restored")
