@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cooccur, distinctive, encoding, leaks, packing, rankfusion, residue, truncation
+from tessera.llm import cooccur, distinctive, encoding, language, leaks, packing, rankfusion, residue, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -159,3 +159,14 @@ def _(spark, d):
 @query("p10_restored")
 def _(spark, d):
     return encoding.repair(table(spark, d, "documents"), table(spark, d, "lang_sample")).select("doc_id", "chain", "places", "lost", "restored")
+
+
+@query("p3_found")
+def _(spark, d):
+    found = language.relabel(table(spark, d, "documents"), table(spark, d, "lang_sample"))
+    return readable(spark, d, found.select("doc_id", "lang"))
+
+
+@query("p3_stretches")
+def _(spark, d):
+    return language.identify(table(spark, d, "documents"), table(spark, d, "lang_sample"))
