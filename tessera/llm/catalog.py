@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cooccur, distinctive, encoding, language, leaks, packing, rankfusion, residue, truncation
+from tessera.llm import abuse, cooccur, distinctive, encoding, language, leaks, packing, rankfusion, residue, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -170,3 +170,22 @@ def _(spark, d):
 @query("p3_stretches")
 def _(spark, d):
     return language.identify(table(spark, d, "documents"), table(spark, d, "lang_sample"))
+
+
+def tagged(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.tag(table(spark, d, "documents"), table(spark, d, "abuse_sample"), table(spark, d, "lang_sample"))
+
+
+@query("p7_found")
+def _(spark, d):
+    return tagged(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+@query("p7_scores")
+def _(spark, d):
+    return tagged(spark, d).select("doc_id", "score", "sentences", F.to_json("spans").alias("spans"))
+
+
+@query("p7_rates")
+def _(spark, d):
+    return abuse.rates(table(spark, d, "documents"), tagged(spark, d))
