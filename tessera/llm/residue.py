@@ -52,7 +52,7 @@ PLACEHOLDERS = (
 PLACEHOLDER = re.compile("|".join(PLACEHOLDERS))
 # Values that programs print where a value is missing: fixed values.
 SURE_DEFAULT = re.compile(r"\bNaN\b|\bnull\b[^.]{0,40}\bnull\b|\bNone\b[^.]{0,40}\bNone\b|(?<!an )(?<!the )(?<!remains )(?<!left )\bundefined\b|\bTBD\b\W+\bTBD\b")
-MAYBE_DEFAULT = re.compile(r"\bnull\b|\bNone\b|\bN/A\b|\bTBD\b|\bTBA\b|\bnil\b|\bunknown\b|(?<=\w)\s+,|\(\s*\)|(?:(?<=\bby)|(?<=\bfrom)|(?<=\bin)|(?<=\bof)|(?<=\bvon)|(?<=\bde)|(?<=\bdi)|(?<=\bpar))\s*(?=[.,;])")
+MAYBE_DEFAULT = re.compile(r"\bnull\b|\bNone\b|\bN/A\b|\bTBD\b|\bTBA\b|\bnil\b|\bunknown\b|(?<=\w)\s+,|\(\s*\)|(?:(?<=\bby)|(?<=\bfrom)|(?<=\bin)|(?<=\bof)|(?<=\bvon)|(?<=\bde)|(?<=\bdi)|(?<=\bpar))\s+(?=[.,;])")
 # Wording of filler and of notices in six languages: fixed values.
 FILLER = (
     r"lorem ipsum|dolor sit amet",
@@ -112,9 +112,12 @@ STEMS = (
     "visualizzare", "expir", "caducado", "abgelaufen", "scaduta", "403 f", "400 ", "401 ", "403 ", "404 ", "408 ", "410 ", "429 ", "500 ", "502 ", "503 ", "504 ",
 )
 _SYNTAX = re.compile(r"[{}<>$%#\[\]@]|__|\?[a-z]+_|_HERE\b")
-_DEFAULTS = re.compile(r"null|undefined|NaN|None|N/A|TB[DA]|nil\b|unknown|\w\s+,|\(\s*\)|\b(?:by|from|in|of|and|von|de|di|par)\s*[.,;]")
+#: Bits of text of which a default or blank needs one. Fixed values.
+_DEFAULT_BITS = ("null", "undefined", "NaN", "None", "N/A", "TBD", "TBA", "nil", "unknown", " ,", " .", " ;", "()", "( )")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"”’»)]*\s+|\n+")
-_SLOT = re.compile("|".join(PLACEHOLDERS) + r"|\b[0-9a-f]*\d[0-9a-f]*\b|(?<=[\s(“\"'’])[A-ZÀ-ÞΑ-Я][\w’'-]*")
+_FILLED = r"\d[\da-f]*|(?<=[\s(“\"'’])[A-ZÀ-ÞΑ-Я][\w’'-]*"
+_PLAIN_SLOT = re.compile(_FILLED)
+_SLOT = re.compile("|".join(PLACEHOLDERS) + "|" + _FILLED)
 _ROWS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("reason", pa.string())])
 _DDL = "kind int, doc_id bigint, a bigint, b bigint, n bigint, reason string"
 
@@ -136,7 +139,12 @@ def _hash(text: str) -> int:
 
 def frame(sentence: str) -> str:
     """The sentence with its slots (placeholders, numbers, names after the first word) masked and closing marks dropped."""
-    return _SLOT.sub("\x00", sentence).rstrip(" .!?…:)(\"”’»").lower()
+    slot = _SLOT if _SYNTAX.search(sentence) else _PLAIN_SLOT
+    return slot.sub("\x00", sentence).rstrip(" .!?…:)(\"”’»").lower()
+
+
+def _may_hold_default(text: str) -> bool:
+    return any(bit in text for bit in _DEFAULT_BITS)
 
 
 def with_defaults_masked(sentence: str) -> str:
@@ -172,7 +180,7 @@ def text_reason(text: str) -> str | None:
     """Why a text is residue by its own words: a variable name in a slot, a sure default, or a notice or filler."""
     if _SYNTAX.search(text) and PLACEHOLDER.search(text):
         return "placeholder"
-    if _DEFAULTS.search(text) and any(SURE_DEFAULT.search(s) for s in _SPLIT.split(text)):
+    if _may_hold_default(text) and any(SURE_DEFAULT.search(s) for s in _SPLIT.split(text)):
         return "default"
     return "notice" if _notice(text) else None
 
@@ -198,11 +206,11 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if reason := text_reason(text):
                 rows.append((3, key, None, None, None, reason))
             page: list[int] = []
-            plain = True
+            plain, defaults = True, _may_hold_default(text)
             for s in _SPLIT.split(text):
                 if not s or s.isspace():
                     continue
-                if _DEFAULTS.search(s) and MAYBE_DEFAULT.search(s):
+                if defaults and MAYBE_DEFAULT.search(s):
                     rows.append((1, key, _hash(with_defaults_masked(s)), None, None, None))
                 f = frame(s)
                 h = _hash(f)

@@ -31,6 +31,7 @@ KNOWN_ROWS = 3
 LIMIT_ROWS, LIMIT_BAND = 5, 16
 BATCH_TOKENS = 400_000
 HELD_WORDS = 300_000
+TAIL = 80
 ROWS_PER_TASK = 1_000_000
 
 _TOKEN = re.compile("[^\\W\\d_]+(?:['’][^\\W\\d_]+)*|\\d+|[.!?…\n]+|[\U0001F000-\U0001FAFF☀-➿]+|[:;]-?[)(]|<3")
@@ -49,12 +50,14 @@ class _Words:
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
+        self.tokens: list[str] = []
         self.hashes: list[int] = []
         self.named: list[bool] = []
         self.marks: list[bool] = []
 
     def add(self, token: str) -> int:
         k = self.number[token] = len(self.hashes)
+        self.tokens.append(token)
         first = token[0]
         mark = not (first.isalpha() or first.isdigit())
         self.hashes.append(_MARK if mark else _NUMBER if first.isdigit() else xxhash.xxh64_intdigest(token.lower()) >> 1)
@@ -63,8 +66,11 @@ class _Words:
         return k
 
     def numbers(self, tokens: list[str]) -> list[int]:
-        get, add = self.number.get, self.add
-        return [k if (k := get(t)) is not None else add(t) for t in tokens]
+        found = list(map(self.number.get, tokens))
+        if None in found:
+            number, add = self.number, self.add
+            found = [number[t] if t in number else add(t) for t in tokens]
+        return found
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,16 +114,17 @@ def _counted(hashes: np.ndarray, follows: np.ndarray) -> pa.RecordBatch:
 def ending(text: str) -> tuple[str, bool] | None:
     """(text without the mark of omission, whether there was one) where the end is not closed; None where it is."""
     body = text.rstrip()
-    m = OMISSION.search(body)
+    at = max(0, len(body) - TAIL)  # marks are short; only the end is searched for them
+    m = OMISSION.search(body, at)
     if m and m.start() > 0:
         return body[: m.start()].rstrip(), True
-    return None if CLOSED.search(body) else (body, False)
+    return None if CLOSED.search(body, at) else (body, False)
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: counts of context h; 1: an open ending of doc_id with its contexts; 2: rows (goes_on) that hold a word."""
     words = _Words()
-    rows_with: Counter[str] = Counter()
+    rows_with: Counter[int] = Counter()  # by the word's number
     held: list[int] = []
     firsts: list[int] = []
     open_ends: list[tuple[int, int, str, bool]] = []  # position of the last token, doc_id, last token, omitted
@@ -143,15 +150,18 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts.clear()
         open_ends.clear()
         if len(words.hashes) > HELD_WORDS:
+            yield vocabulary()
             words = _Words()
 
     def vocabulary() -> pa.RecordBatch:
-        keys = list(rows_with)
-        n = len(keys)
-        none = lambda t=pa.int64(): pa.nulls(n, t)
-        out = pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), none(), pa.array([rows_with[k] for k in keys], pa.int64()), none(), none(), none(), none(), none(), pa.array(keys, pa.string()), none(pa.bool_())], schema=_SCHEMA)
+        lowered: Counter[str] = Counter()
+        for k, n in rows_with.items():
+            if words.tokens[k][0].isalpha():
+                lowered[words.tokens[k].lower()] += n
         rows_with.clear()
-        return out
+        n = len(lowered)
+        none = lambda t=pa.int64(): pa.nulls(n, t)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), none(), pa.array(list(lowered.values()), pa.int64()), none(), none(), none(), none(), none(), pa.array(list(lowered), pa.string()), none(pa.bool_())], schema=_SCHEMA)
 
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -168,13 +178,11 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     open_ends.append((len(held) + kept - 1, key, tokens[kept - 1], tail[1]))
                     if not tail[1]:
                         tokens = tokens[:kept]
-            held.extend(words.numbers(tokens))
-            last = tokens[-1] if tail is not None and not tail[1] else None
-            rows_with.update({t.lower() for t in tokens if t is not last and t[0].isalpha()} if last else {t.lower() for t in tokens if t[0].isalpha()})
+            numbers = words.numbers(tokens)
+            held += numbers
+            rows_with.update(set(numbers if tail is None or tail[1] else numbers[:-1]))
             if len(held) >= BATCH_TOKENS:
                 yield from flush()
-            if len(rows_with) > HELD_WORDS:
-                yield vocabulary()
     yield from flush()
     if rows_with:
         yield vocabulary()
