@@ -136,11 +136,11 @@ def cooccurrence(records: DataFrame, record_id: str, kinds: dict[str, str], min_
     spread = lambda s: heavy.select(F.col("item_no").alias(f"no_{s}"), "__spread")
     with_a = salted_lookup(coded, side("a"), "no_a", spread("a"), F.col("no_b"))
     both = salted_lookup(with_a, side("b"), "no_b", spread("b"), F.col("no_a"))
-    total = records.agg(F.count(F.lit(1)).alias("n_rows"))
-    a, b, ab, n = (F.col(c).cast("double") for c in ("n_a", "n_b", "n_ab", "n_rows"))
+    total = F.lit(records.count())
+    a, b, ab, n = (c.cast("double") for c in (F.col("n_a"), F.col("n_b"), F.col("n_ab"), total))
     odds = ((ab + 0.5) * (n - a - b + ab + 0.5)) / ((a - ab + 0.5) * (b - ab + 0.5))
-    return both.crossJoin(F.broadcast(total)).select(  # one row
-        F.col("key_a.kind").alias("kind"), F.col("key_a.item").alias("item_a"), F.col("key_b.item").alias("item_b"), "n_ab", "n_a", "n_b", "n_rows", (ab * n / (a * b)).alias("lift"), odds.alias("odds_ratio")
+    return both.select(
+        F.col("key_a.kind").alias("kind"), F.col("key_a.item").alias("item_a"), F.col("key_b.item").alias("item_b"), "n_ab", "n_a", "n_b", total.cast("bigint").alias("n_rows"), (ab * n / (a * b)).alias("lift"), odds.alias("odds_ratio")
     )
 
 

@@ -110,10 +110,10 @@ def distinctive_terms(docs: DataFrame, doc_id: str = "doc_id", text: str = "rich
     if max_df is not None:
         in_range &= F.col("df") <= max_df
     statistics = cut(summed.where(F.col("term").isNull() | (in_range & (F.col("cf") >= min_tf))))
-    whole = statistics.where(F.col("term").isNull()).select(F.col("df").cast("double").alias("n_docs"), (F.col("cf") / F.greatest(F.col("df"), F.lit(1))).alias("mean_length"))
+    whole = statistics.where(F.col("term").isNull()).head()  # one row: records with terms, and their whole length
+    n_docs, length = (whole["df"], whole["cf"]) if whole else (0, 0)
     known = statistics.where(F.col("term").isNotNull())
     mine = body.mapInArrow(_record_terms(min_tf), "doc_id bigint, n_terms bigint, term string, tf bigint")
     joined = salted_lookup(mine, known, "term", hot_keys(known, "term", F.col("df"), ROWS_PER_TASK), F.col("doc_id"))
-    scored = joined.crossJoin(F.broadcast(whole))  # one row
-    score = score_expression(F.col("tf").cast("double"), F.col("n_terms").cast("double"), F.col("mean_length"), F.col("cf").cast("double"), F.col("n_docs"))
-    return scored.select("doc_id", "term", "tf", "df", "cf", score.alias("score"))
+    score = score_expression(F.col("tf").cast("double"), F.col("n_terms").cast("double"), F.lit(length / max(n_docs, 1)), F.col("cf").cast("double"), F.lit(float(max(n_docs, 1))))
+    return joined.select("doc_id", "term", "tf", "df", "cf", score.alias("score"))

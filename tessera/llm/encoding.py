@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.samples import labelled_sample, sentences
+from tessera.llm.samples import labelled_sample, sentences, snippets
 
 #: Code pages that text is commonly read in by mistake, and those whose letters are then taken for others: fixed values.
 WRONG_FOR_UTF8 = ("cp1252", "latin_1", "cp1251", "mac_roman", "cp437", "cp850", "cp1250", "koi8_r")
@@ -240,7 +240,7 @@ def repair(docs: DataFrame, samples: DataFrame) -> DataFrame:
     joins them for the dictionaries. ``chain`` names the steps undone, ``''`` if nothing can be; ``lost`` counts characters
     that are gone. Other rows are not returned: null, empty and clean texts stay as they are. Every text is read whole.
     """
-    clean = [(r[0], r[1]) for r in samples.where(F.length("text") > 0).select("lang", "text").orderBy("lang", "text").collect()]  # snippets of a fixed table
+    clean = snippets(samples)
     languages = sorted({label for label, _ in clean})
     known = clean + labelled_sample(docs, languages)
     shared = docs.sparkSession.sparkContext.broadcast((train_dictionaries(known), alphabet_of(known)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.samples import labelled_sample, sentence_spans
+from tessera.llm.samples import labelled_sample, sentence_spans, snippets
 
 DIMENSIONS = 2048
 SEED = 20240229
@@ -125,7 +125,8 @@ class Identifier:
             return np.zeros((len(spans), len(self.languages))), np.zeros(len(spans), int)
         totals = np.zeros((len(codes) + 1, len(self.languages)))
         np.cumsum(self.products[codes], axis=0, out=totals[1:], dtype=np.float64)
-        speaks = np.concatenate(([0], np.cumsum(codes != 0)))
+        middle = (codes >> _BITS) & ((1 << _BITS) - 1)
+        speaks = np.concatenate(([0], np.cumsum((middle > 0) & (middle < _APOSTROPHE))))
         a = np.minimum([s[0] for s in spans], len(codes))
         b = np.clip([s[1] - 2 for s in spans], a, len(codes))
         n = b - a
@@ -220,7 +221,7 @@ def identify(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id", text:
     texts, and texts without letters, give no rows; rows repeated under one doc_id give the rows of each. ``samples`` has lang
     and text. The model is fitted on them and on a bounded sample of documents (ROWS_PER_LABEL of each label).
     """
-    clean = [(r[0], r[1]) for r in samples.where(F.length("text") > 0).select("lang", "text").orderBy("lang", "text").collect()]  # snippets of a fixed table
+    clean = snippets(samples)
     languages = sorted({label for label, _ in clean})
     model, _ = fit(clean, labelled_sample(docs, languages, rows=ROWS_PER_LABEL))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.lineage import cut
+from tessera.skew import hot_keys, salted_lookup
 
 HELD_FRAMES = 400_000
+ROWS_PER_TASK = 1_000_000
 #: A page is a repeated template if so many records have it and its sentences are at least this share inside such pages.
 MIN_PAGES, PAGE_SHARE = 3, 0.5
 #: Records that must hold a frame with its slots filled before a default or a blank in it counts.
@@ -51,7 +53,7 @@ PLACEHOLDERS = (
 )
 PLACEHOLDER = re.compile("|".join(PLACEHOLDERS))
 # Values that programs print where a value is missing: fixed values.
-SURE_DEFAULT = re.compile(r"\bNaN\b|\bnull\b[^.]{0,40}\bnull\b|\bNone\b[^.]{0,40}\bNone\b|(?<!an )(?<!the )(?<!remains )(?<!left )\bundefined\b|\bTBD\b\W+\bTBD\b")
+SURE_DEFAULT = re.compile(r"\bNaN\b|\bnull\b[^.]{0,40}\bnull\b|\bNone\b[^.]{0,40}\bNone\b|(?<![Aa]n )(?<![Tt]he )(?<!remains )(?<!left )\bundefined\b|\bTBD\b\W+\bTBD\b")
 MAYBE_DEFAULT = re.compile(r"\bnull\b|\bNone\b|\bN/A\b|\bTBD\b|\bTBA\b|\bnil\b|\bunknown\b|(?<=\w)\s+,|\(\s*\)|(?:(?<=\bby)|(?<=\bfrom)|(?<=\bin)|(?<=\bof)|(?<=\bvon)|(?<=\bde)|(?<=\bdi)|(?<=\bpar))\s+(?=[.,;])")
 # Wording of filler and of notices in six languages: fixed values.
 FILLER = (
@@ -148,7 +150,7 @@ def _may_hold_default(text: str) -> bool:
 
 
 def with_defaults_masked(sentence: str) -> str:
-    return frame(MAYBE_DEFAULT.sub(" \x00", sentence))
+    return re.sub(" +", " ", frame(MAYBE_DEFAULT.sub(" \x00", sentence)))
 
 
 def _notice(text: str) -> bool:
@@ -232,19 +234,24 @@ def find_residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """doc_id, reason for rows where residue stands in place of content: placeholder, default, notice (with filler) or page.
 
     One row per doc_id and reason; null and empty texts give none. Rows repeated under one doc_id give one. The frames of all
-    sentences of all rows are counted; tasks combine equal frames before the shuffle, so a common frame sends one row a task.
+    sentences of all rows are counted; tasks combine equal frames before the shuffle, so a common frame sends one row a task, and
+    a page that very many records have is looked up in several tasks.
     """
     body = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("body"))
     evidence = cut(body.mapInArrow(_evidence, _DDL))
+    n = F.count(F.lit(1)).alias("n")
     direct = evidence.where("kind = 3").select("doc_id", "reason")
     frames = evidence.where("kind = 0").groupBy(F.col("a").alias("frame")).agg(F.sum("n").alias("n_all"))
     weak = evidence.where("kind = 1").select("doc_id", F.col("a").alias("frame"))
     filled = frames.where(F.col("n_all") >= MIN_FILLED).select("frame")
-    defaults = weak.join(filled, "frame", "left_semi").select("doc_id", F.lit("default").alias("reason"))
-    pages = evidence.where("kind = 2")
-    repeated = pages.groupBy(F.col("a").alias("page")).agg(F.countDistinct("doc_id").alias("n_pages")).where(F.col("n_pages") >= MIN_PAGES)
-    inside = pages.select("doc_id", F.col("a").alias("page"), F.col("b").alias("frame"), "n").join(repeated.select("page"), "page", "left_semi")
-    share = inside.groupBy("frame").agg(F.sum("n").alias("n_inside")).join(frames, "frame").where(F.col("n_inside") < PAGE_SHARE * F.col("n_all")).select("frame")
-    other = inside.join(share, "frame", "left_semi").select("page").distinct()  # pages with a sentence that other texts use
-    by_page = inside.join(other, "page", "left_anti").select("doc_id", F.lit("page").alias("reason"))
-    return direct.unionByName(defaults).unionByName(by_page).distinct()
+    hot = hot_keys(weak.groupBy("frame").agg(n), "frame", F.col("n"), ROWS_PER_TASK)
+    defaults = salted_lookup(weak, filled, "frame", hot, F.col("doc_id")).select("doc_id", F.lit("default").alias("reason"))
+    pages = evidence.where("kind = 2").select("doc_id", F.col("a").alias("page"), F.col("b").alias("frame"), "n")
+    rows = pages.select("doc_id", "page").distinct()
+    repeated = rows.groupBy("page").agg(n).where(F.col("n") >= MIN_PAGES)
+    # from here on one row a page and frame, however many records have the page
+    made_of = pages.groupBy("page", "frame").agg(F.sum("n").alias("n_here")).join(repeated.select("page"), "page")
+    share = made_of.groupBy("frame").agg(F.sum("n_here").alias("n_inside")).join(frames, "frame").select("frame", (F.col("n_inside") >= PAGE_SHARE * F.col("n_all")).alias("own"))
+    templates = made_of.join(share, "frame").groupBy("page").agg(F.min("own").alias("own")).where("own").select("page")  # no sentence that other texts use
+    by_page = salted_lookup(rows, templates, "page", hot_keys(repeated, "page", F.col("n"), ROWS_PER_TASK), F.col("doc_id"))
+    return direct.unionByName(defaults).unionByName(by_page.select("doc_id", F.lit("page").alias("reason"))).distinct()

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 ROWS_PER_LABEL = 150
 #: At most so many characters of each of them.
 CHARS_PER_ROW = 4000
+#: At most so many clean snippets.
+MAX_SNIPPETS = 20_000
 
 _END = re.compile(r"(?:[.!?…]+[\"”’»)\]]*(?:\s*(?::\)|:\(|[\U0001F300-\U0001FAFF]))?(?=\s)|\n)\s*|(?<=\S)\s*(?:\[(?:\.\.\.|…)\])")
 
@@ -35,6 +37,12 @@ def labelled_sample(docs: DataFrame, labels: list[str], label: str = "lang", tex
     return sorted(((r[0], r[1]) for r in chosen), key=lambda x: (x[0], x[1]))
 
 
+def snippets(samples: DataFrame, label: str = "lang", text: str = "text") -> list[tuple[str, str]]:
+    """(label, text) of a small table of clean snippets; of more than MAX_SNIPPETS rows the first by label and text."""
+    known = samples.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(label, F.substring(text, 1, CHARS_PER_ROW).alias("t"))
+    return [(r[0], r[1]) for r in known.orderBy(label, "t").limit(MAX_SNIPPETS).collect()]
+
+
 def sentence_spans(text: str) -> list[tuple[int, int]]:
     """[start, end) of the sentences of a text: to the closing marks before white space, to a line break, or to the end."""
     spans = []

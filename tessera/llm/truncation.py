@@ -190,7 +190,8 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def at_limit(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     """doc_id of the rows whose length lies at a length limit of their source, in characters or in bytes."""
-    sized = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes")).where(F.col("chars") > 0)
+    # a few numbers a row, read five times below: kept, so that the texts are read once
+    sized = cut(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes")).where(F.col("chars") > 0))
     top = sized.groupBy("s").agg(F.max("chars").alias("top_chars"), F.max("bytes").alias("top_bytes"))
     found = None
     for unit in ("chars", "bytes"):
@@ -198,8 +199,9 @@ def at_limit(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
         below = F.col(f"top_{unit}") - F.col(unit)
         near = lengths.join(top, "s").groupBy("s", f"top_{unit}").agg(F.sum(F.when(below < LIMIT_BAND, F.col("n")).otherwise(0)).alias("n_near"), F.sum(F.when((below >= LIMIT_BAND) & (below < 5 * LIMIT_BAND), F.col("n")).otherwise(0)).alias("n_before"))
         limit = near.where((F.col("n_near") >= LIMIT_ROWS) & (F.col("n_near") > F.col("n_before"))).select("s", F.col(f"top_{unit}").alias("limit"))
-        lens = lengths.select("s", unit).join(limit, "s").where(F.col("limit") - F.col(unit) < LIMIT_BAND).select("s", unit, F.lit(True).alias("hit"))
-        rows = sized.join(F.broadcast(lens), ["s", unit], "left_semi").select("doc_id")  # at most LIMIT_BAND lengths a source
+        key = F.struct("s", unit).alias("key")
+        lens = lengths.join(limit, "s").where(F.col("limit") - F.col(unit) < LIMIT_BAND).select(key, "n")
+        rows = salted_lookup(sized.select("doc_id", key), lens.select("key"), "key", hot_keys(lens, "key", F.col("n"), ROWS_PER_TASK), F.col("doc_id")).select("doc_id")
         found = rows if found is None else found.unionByName(rows)
     return found.distinct()
 
@@ -227,7 +229,9 @@ def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "rich_te
     vocabulary = evidence.where("kind = 2").groupBy("word").agg(F.sum("goes_on").alias("n")).where(F.col("n") >= KNOWN_ROWS)
     # the trie as a table of its nodes: every proper prefix of every known word
     nodes = vocabulary.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.struct(F.substring(F.col("word"), F.lit(1), k).alias("p"), (k == F.length("word")).alias("whole")))).alias("x")).groupBy(F.col("x.p").alias("word")).agg(F.max("x.whole").alias("known"), F.count_if(~F.col("x.whole")).alias("longer"))
-    tails = ends.select("doc_id", "word").join(nodes.where("longer > 0 and not known").select("word"), "word", "left_semi").select("doc_id").distinct().withColumn("unknown_prefix", F.lit(True))
+    common = hot_keys(ends.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word", F.col("n"), ROWS_PER_TASK)
+    prefixes = nodes.where("longer > 0 and not known").select("word")
+    tails = salted_lookup(ends.select("doc_id", "word"), prefixes, "word", common, F.col("doc_id")).select("doc_id").distinct().withColumn("unknown_prefix", F.lit(True))
     limited = at_limit(docs, doc_id, text, source).withColumn("at_limit", F.lit(True))
     letters = F.when(F.col("word").rlike(r"^\p{L}+$"), F.length("word")).otherwise(0)
     open_rows = ends.groupBy("doc_id").agg(F.min("omitted").alias("omitted"), F.min(letters).alias("letters"))
