@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,10 @@ from tessera.functions.stem import stem_vocabulary
 from tessera.functions.stopwords import STOP_WORDS
 from tessera.functions.text import first_present, present, safe_year, slugify, snippet
 from tessera.functions.vector import clamp01, l2_normalize, norm
+from tessera.lineage import shared_folder
 from tessera.operators import dense, html, index, ingest, pnorm, weights
 from tessera.plans import search
+from tessera.plans.build import Index, build_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -43,12 +46,23 @@ def docs_of(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "documents")
 
 
-def postings_of(spark: SparkSession, directory: str, stop_words=()) -> DataFrame:
-    return index.term_frequencies(docs_of(spark, directory), stop_words=stop_words)
+_built: dict[tuple[str, str], Index] = {}
+
+
+def index_of(spark: SparkSession, directory: str) -> Index:
+    """The index of one set of tables, built once in a session, in the folder all executors share."""
+    key = (spark.sparkContext.applicationId, directory)
+    if key not in _built:
+        _built[key] = build_index(docs_of(spark, directory), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return _built[key]
+
+
+def postings_of(spark: SparkSession, directory: str) -> DataFrame:
+    return index_of(spark, directory).postings
 
 
 def weights_of(spark: SparkSession, directory: str) -> DataFrame:
-    return weights.tfidf_weights(postings_of(spark, directory))
+    return index_of(spark, directory).weights
 
 
 # --- SQL shared by several queries -------------------------------------------------------------------------------
@@ -102,12 +116,12 @@ def _snippet_sql(tokens: tuple[str, ...], body: str = "body") -> str:
 # --- index -------------------------------------------------------------------------------------------------------
 @query("tokenize_tf", f"WITH {_POSTINGS} SELECT term, doc_id, tf FROM postings")
 def _(spark, d):
-    return postings_of(spark, d)
+    return index.term_frequencies(docs_of(spark, d))
 
 
 @query("stopword_filter", f"WITH {_POSTINGS} SELECT term, doc_id, tf FROM postings WHERE term NOT IN ({_STOPS})")
 def _(spark, d):
-    return postings_of(spark, d, STOP_WORDS)
+    return index.term_frequencies(docs_of(spark, d), stop_words=STOP_WORDS)
 
 
 @query("posting_lists", f"WITH {_POSTINGS} SELECT term, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM postings GROUP BY term HAVING count(*) <= 20")
@@ -135,7 +149,7 @@ def _(spark, d):
     n = docs_of(spark, d).agg(F.count(F.lit(1)).alias("docs_loaded"))
     v = postings_of(spark, d).agg(F.countDistinct("term").alias("vocabulary"))
     e = table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("vectors"))
-    return n.crossJoin(F.broadcast(v)).crossJoin(F.broadcast(e))  # three single rows
+    return n.select("docs_loaded", v.scalar().alias("vocabulary"), e.scalar().alias("vectors"))
 
 
 @query("top_terms_cf", f"WITH {_POSTINGS} SELECT term, sum(tf)::bigint AS cf, count(*) AS df FROM postings GROUP BY term ORDER BY cf DESC, term LIMIT 20")
@@ -195,7 +209,7 @@ def _(spark, d):
 
 @query("tfidf_weights", f"WITH {_WEIGHTS} SELECT term, doc_id, w FROM weights")
 def _(spark, d):
-    return weights_of(spark, d)
+    return weights.tfidf_weights(postings_of(spark, d))
 
 
 def _pnorm(name: str, tokens: tuple[str, ...], p: float, op: str) -> None:
@@ -534,14 +548,9 @@ def _(spark, d):
 
 @query("stream_ingest")
 def _(spark, d):
-    import uuid
-
-    from tessera.lineage import ensure_checkpoint_dir
     from tessera.streaming.ingest import current, ingest_files
 
-    ensure_checkpoint_dir(spark)
-    shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    home = f"{shared}/stream-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     ingest_files(spark, d, schema, f"{home}/out", f"{home}/state", "event_id", pattern="events.parquet")
     return current(spark, f"{home}/out", "event_id")

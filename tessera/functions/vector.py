@@ -21,8 +21,14 @@ def norm(a: Column) -> Column:
 def l2_normalize(a: Column) -> Column:
     """Scaled to length 1; a zero or empty vector stays as it is."""
     d = a.cast("array<double>")
-    n = norm(a)
-    return F.when(n > 0, F.transform(d, lambda x: x / n)).otherwise(d)
+    # the length is bound to a lambda's variable, else it would be computed again for every element
+    scaled = F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(d, lambda x: x / n)).otherwise(d))
+    return scaled[0]
+
+
+def cosine(a: Column, unit: Column) -> Column:
+    """Cosine of a vector with one of length 1; 0 for a zero vector, null for a null or wrongly sized one."""
+    return F.transform(F.array(norm(a)), lambda n: F.when(n > 0, dot(a, unit) / n).otherwise(n))[0]
 
 
 def literal(vector: Sequence[float]) -> Column:

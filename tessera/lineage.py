@@ -30,3 +30,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a reliable checkpoint (never a local one)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vector import clamp01, dot, l2_normalize, literal
+from tessera.functions.vector import clamp01, cosine, literal
 
 
 def top_k(vectors: DataFrame, query: Sequence[float], k: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 4) -> DataFrame:
@@ -16,10 +17,10 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int = 50, id_col: str =
     Rows with a null or wrongly sized vector are dropped; negative cosines become 0 and stay. The query vector is a
     literal of the plan, so nothing is joined.
     """
-    q = literal(query)
-    n = F.sqrt(dot(q, q))
-    unit = F.transform(q, lambda x: F.when(n > 0, x / n).otherwise(x))
-    scored = vectors.select(F.col(id_col).alias("doc_id"), F.round(clamp01(dot(l2_normalize(F.col(vector_col)), unit)), digits).alias("score"))
+    length = math.sqrt(sum(float(x) ** 2 for x in query)) or 1.0
+    unit = literal([float(x) / length for x in query])
+    cosines = vectors.select(F.col(id_col).alias("doc_id"), cosine(F.col(vector_col), unit).alias("c"))
+    scored = cosines.select("doc_id", F.round(clamp01(F.col("c")), digits).alias("score"))
     return scored.where(F.col("score").isNotNull()).orderBy(F.desc("score"), "doc_id").limit(k)
 
 

@@ -20,8 +20,8 @@ def idf_expression(n_docs: Column, df: Column) -> Column:
 
 
 def inverse_document_frequency(postings: DataFrame) -> DataFrame:
-    """term, df, idf. The collection size is one row, so the broadcast is bounded."""
-    return document_frequency(postings).crossJoin(F.broadcast(collection_size(postings))).select("term", "df", idf_expression(F.col("n_docs"), F.col("df")).alias("idf"))
+    """term, df, idf. The collection size is a scalar subquery, so nothing is joined for it."""
+    return document_frequency(postings).select("term", "df", idf_expression(collection_size(postings).scalar(), F.col("df")).alias("idf"))
 
 
 def tfidf_weights(postings: DataFrame, digits: int = 5) -> DataFrame:

@@ -9,7 +9,8 @@ from tessera.functions.stem import stem
 from tessera.functions.text import slugify, snippet
 from tessera.functions.vector import l2_normalize, norm
 from tessera.operators import dense, html, index, ingest, pnorm, weights
-from tessera.plans.search import Request
+from tessera.plans.build import build_index
+from tessera.plans.search import Request, search, total_results
 from tessera.skew import hot_keys, salted_lookup
 from tessera.sources import store
 
@@ -152,3 +153,25 @@ def test_round_trips(spark, tmp_path):
 )
 def test_stems(word, want):
     assert stem(word) == want
+
+
+def test_search_over_a_stored_index(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"T{i}" if i else None, None, "red fox " * (i + 1) + "hill" * (i % 2), 1) for i in range(6)], "doc_id bigint, title string, year string, rich_text string, score int")
+    built = build_index(d, str(tmp_path))
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(8)], "vec_id bigint, embedding array<float>")
+    r = Request(tokens=("hill",), vector=(1.0, 0.0), top_k=3)
+    rows = search(built.weights, v, d, r).collect()
+    assert [x["doc_id"] for x in rows] == [0, 1, 2] or rows[0]["doc_id"] == 0
+    assert rows[0]["title"] == "Unknown" and rows[0]["year"] == "N/A" and rows[0]["vector_score"] == 1.0
+    assert total_results(built.weights, v, d, r).head()[0] == 6
+
+
+def test_core_does_not_need_the_training_subpackage():
+    import ast
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1] / "tessera"
+    for f in root.rglob("*.py"):
+        if "llm" not in f.relative_to(root).parts:
+            names = [getattr(n, "module", None) or a.name for n in ast.walk(ast.parse(f.read_text())) if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names]
+            assert not any(n and "llm" in n.split(".") for n in names), f
