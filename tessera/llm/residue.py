@@ -43,7 +43,7 @@ PLACEHOLDERS = (
     r"##?[A-Z][A-Z_]+[A-Z_\d]*#?#",
     r"__[A-Z_]{3,}__",
     r"\[\[\w+\]\]",
-    r"\[(?:INSERT|ADD|ENTER|YOUR|PLACEHOLDER)\b[^\]]*\]",
+    r"(?i:\[(?:[^\]\[\n]{0,40}\b)?(?:insert|add|enter|your|placeholder|here|text|ajouter|insérer|texte|ici|insertar|añadir|texto|aquí|inserir|adicionar|aqui|einfügen|hier|inserire|aggiungere|testo|qui)\b[^\]\[\n]{0,60}\])",
     r"\[[A-Z]+(?:_[A-Z\d]+)+\]",
     r"\$[A-Z][A-Z_]+\$",
     r"\b[A-Z]+_HERE\b",

@@ -142,7 +142,7 @@ def test_relabel(spark):
 
 @pytest.mark.parametrize(
     "text",
-    ["Fine film. {{title}} is here.", "Dear [FIRST_NAME], thanks.", "null null undefined", "Please enable JavaScript to continue.", "Seite nicht gefunden.", "Lorem ipsum dolor.", "Error 503 while fetching this review.", "Good. Bla bla bla bla. Good.", "%(plot)s", "TITLE_HERE is a film"],
+    ["Fine film. {{title}} is here.", "Dear [FIRST_NAME], thanks.", "null null undefined", "Please enable JavaScript to continue.", "Seite nicht gefunden.", "Lorem ipsum dolor.", "Error 503 while fetching this review.", "Good. Bla bla bla bla. Good.", "%(plot)s", "TITLE_HERE is a film", "Good. [Hier Text einfügen] Good.", "[Añadir aquí el segundo párrafo]", "[INSERT SYNOPSIS HERE]"],
 )
 def test_residue_by_its_words(text):
     assert residue.text_reason(text)
@@ -150,7 +150,7 @@ def test_residue_by_its_words(text):
 
 @pytest.mark.parametrize(
     "text",
-    ["Access denied, says the guard, and the hall laughs.", "The poster promised <more> than the film gives.", "[spoilers ahead] She survives.", "They spent a $20 budget on it.", "The theatre is closed for maintenance through half the story.", "No es para todo el mundo.", "An undefined longing.", "The script is fine, and the server smiles at the waiter.", ""],
+    ["Access denied, says the guard, and the hall laughs.", "The poster promised <more> than the film gives.", "[spoilers ahead] She survives.", "They spent a $20 budget on it.", "The theatre is closed for maintenance through half the story.", "No es para todo el mundo.", "An undefined longing.", "We saw [...] twice.", "[laughs] She wins.", "The script is fine, and the server smiles at the waiter.", ""],
 )
 def test_stories_about_it_are_none(text):
     assert residue.text_reason(text) is None
