@@ -42,6 +42,6 @@ def reviews(html: Column, tag: str = "p", max_n: int = 10) -> Column:
 
 def json_values(source: Column, field: str) -> Column:
     """All values of one string field in a page's JSON text, escapes decoded, without repeats."""
-    raw = F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(rf'"{field}"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1)
+    raw = F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(rf'"{field}"\s*:\s*"((?:[^"\\]++|\\.)*+)"'), 1)
     decoded = F.transform(raw, lambda m: F.from_json(F.concat(F.lit('["'), m, F.lit('"]')), "array<string>")[0])
     return F.array_distinct(decoded)
