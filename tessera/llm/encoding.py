@@ -66,7 +66,7 @@ def any_suspect() -> re.Pattern[str]:
     return re.compile("|".join(sorted(pairs)) + f"|[A-Za-zÀ-ÿ][{foreign}]|[{foreign}][A-Za-zÀ-ÿ]|[a-zß-ÿ][À-ÖØ-Þ†-™][a-zß-ÿ]|(?:^|[\\s(])[Ͱ-ԯ](?:[\\s,.)]|$)")
 
 
-_MIXED = re.compile("[^\\W\\d_]*[^\\W\\d_\\x00-\\x7f][^\\W\\d_]*")
+_MIXED = re.compile("(?<![^\\W\\d_])[^\\W\\d_]*[^\\W\\d_\\x00-\\x7f][^\\W\\d_]*")
 
 
 def _latin_word(word: str, page: dict[str, int]) -> str | None:

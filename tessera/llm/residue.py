@@ -34,13 +34,13 @@ PLACEHOLDERS = (
     r"\{\{[^{}]*\}\}",
     r"\$\{[^{}]*\}",
     r"\{%[^{}]*%\}",
-    r"\{[A-Za-z_]*\d*[A-Za-z_.]*\}",
+    r"\{(?:[A-Za-z_]\w{0,60}(?:\.\w{1,40}){0,4}|\d{0,3})\}",
     r"%\([A-Za-z_]\w*\)[sdif]",
     r"%[A-ZÀ-Þ_]{3,}%",
     r"(?<![\w%])%[sd]\b",
-    r"<%.*?%>",
+    r"<%.{0,200}?%>",
     r"@@\w+@@",
-    r"##?[A-Z][A-Z_]+[A-Z_\d]*#?#",
+    r"##?[A-Z][A-Z_\d]{2,60}#{1,2}",
     r"__[A-Z_]{3,}__",
     r"\[\[\w+\]\]",
     r"(?i:\[(?:[^\]\[\n]{0,40}\b)?(?:insert|add|enter|your|placeholder|here|text|ajouter|insérer|texte|ici|insertar|añadir|texto|aquí|inserir|adicionar|aqui|einfügen|hier|inserire|aggiungere|testo|qui)\b[^\]\[\n]{0,60}\])",
@@ -86,7 +86,7 @@ NOTICES = (
     r"\bseem to be offline\b|\bcheck (?:the|your) (?:internet )?connection\b|\bincident\b.{0,20}\blogged\b|^\W*reference [0-9a-f]{6,}",
     r"\b(?:could not|cannot|can't|failed to) (?:be )?load(?:ed)?\b|\bwhile (?:loading|fetching)\b.{0,20}\b(?:review|page|film|record|text)|\bbody missing\b",
     r"\b\w+(?:Exception|Error)\b(?::|\s+at\b)|\bTraceback \(most|\bcannot read propert|\bat \w+\.\w+ line \d",
-    r"\"(?:code|error|message|trace|status)\"\s*:|</?(?:html|head|body|title|div|script|span|iframe)\b[^>]*>",
+    r"\"(?:code|error|message|trace|status)\"\s*:|</?(?:html|head|body|title|div|script|span|iframe)\b[^>]{0,400}>",
     r"\bactiv\w*\b.{0,20}\b(?:javascript|scripts|cookies)\b|\bative\b.{0,20}\b(?:javascript|scripts|cookies)\b|\battiva\w*\b.{0,20}\b(?:javascript|script|cookie)",
     r"\baktivieren\b.{0,20}\bjavascript\b|\bjavascript\b.{0,30}\b(?:aktivier|navegador|navigateur|browser|seite neu|leer|ler|lire|leggere)",
     r"\bno se ha encontrado la página\b|\bpágina no encontrada\b|\bpágina não encontrada\b|\bpage introuvable\b|\bseite (?:wurde )?nicht gefunden\b|\bpagina non trovata\b",

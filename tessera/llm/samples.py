@@ -14,7 +14,7 @@ CHARS_PER_ROW = 4000
 #: At most so many clean snippets.
 MAX_SNIPPETS = 20_000
 
-_END = re.compile(r"(?:[.!?…]+[\"”’»)\]]*(?:\s*(?::\)|:\(|[\U0001F300-\U0001FAFF]))?(?=\s)|\n)\s*|(?<=\S)\s*(?:\[(?:\.\.\.|…)\])")
+_END = re.compile(r"(?:(?<![.!?…])[.!?…]++[\"”’»)\]]*+(?:\s*+(?::\)|:\(|[\U0001F300-\U0001FAFF]))?(?=\s)|\n)\s*|(?<=\S)\s*(?:\[(?:\.\.\.|…)\])")
 
 
 def labelled_sample(docs: DataFrame, labels: list[str], label: str = "lang", text: str = "text", key: str = "doc_id", rows: int = ROWS_PER_LABEL) -> list[tuple[str, str]]:

@@ -234,3 +234,22 @@ def test_disguised_words():
 
 def test_sentences():
     assert samples.sentences("One. Two!? Three…\nfour") == ["One.", "Two!?", "Three…", "four"]
+
+
+@pytest.mark.parametrize("text", ["." * 200_000, "*" * 200_000, "a" * 200_000, "é" + "a" * 200_000, "{" * 200_000, "{" + "a" * 200_000, "<%" * 100_000, "#A" * 100_000, "a " * 100_000, "<div" * 50_000, "A" * 200_000, " " * 200_000 + "x", "Ã©" * 100_000, "?" * 200_000])
+def test_very_long_runs_take_no_long_time(describer, model, text):
+    import time
+
+    began = time.process_time()
+    samples.sentence_spans(text)
+    abuse.sentences_of(text)
+    abuse.tokens(text)
+    residue.text_reason(text)
+    residue.frame(text)
+    truncation.ending(text)
+    truncation._TOKEN.findall(text)
+    language.sentence_languages(text, model)
+    leaks.words(text)
+    encoding.restore(text, describer)
+    encoding.lost_characters(text[:2000], describer)
+    assert time.process_time() - began < 10
