@@ -454,6 +454,34 @@ def _(spark, d):
     return c.select("doc_id").orderBy("doc_id").limit(200)  # the operator's own limit argument
 
 
+@query(
+    "source_filters",
+    """SELECT tmdb_id, strategy, page, fetched_at FROM listing WHERE ((strategy = 'popularity' AND vote_count >= 100) OR (strategy = 'quality' AND vote_count >= 500)) AND year >= '1990' AND original_language = 'en'""",
+)
+def _(spark, d):
+    return ingest.source_filters(table(spark, d, "listing"), {"popularity": 100, "quality": 500}).select("tmdb_id", "strategy", "page", "fetched_at")
+
+
+@query(
+    "enrich_outcomes",
+    """WITH c AS (SELECT metadata.source_url AS source_url FROM documents WHERE nullif(metadata.imdb_id, '') IS NOT NULL AND reviews_count = 0),
+f AS (SELECT source_url, any_value(reviews) AS reviews FROM (SELECT source_url, reviews FROM document_v1 WHERE nullif(source_url, '') IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY len(reviews) DESC NULLS LAST) = 1) GROUP BY source_url)
+SELECT count(*) FILTER (len(reviews) > 0) AS enriched, count(*) FILTER (coalesce(len(reviews), -1) <= 0) AS skipped, count(*) FILTER (reviews IS NULL) AS errors FROM c LEFT JOIN f USING (source_url)""",
+)
+def _(spark, d):
+    c = docs_of(spark, d).where(present("metadata.imdb_id").isNotNull() & (F.col("reviews_count") == 0)).select(F.col("metadata.source_url").alias("source_url"))
+    v = table(spark, d, "document_v1").where(present("source_url").isNotNull()).select("source_url", "reviews")
+    fetched = ingest.first_by(v, ["source_url"], [-F.coalesce(F.size("reviews"), F.lit(-1))])
+    return ingest.enrich_outcomes(c, fetched, "source_url")
+
+
+@query("json_values", "SELECT tmdb_id, title FROM (SELECT DISTINCT tmdb_id, title FROM listing) WHERE title IS NOT NULL")
+def _(spark, d):
+    t = table(spark, d, "listing").where(F.col("title").isNotNull()).select("tmdb_id", "title").distinct()
+    page = F.concat(F.lit("<script>"), F.to_json(F.struct("tmdb_id", "title")), F.lit("</script>"))
+    return t.select("tmdb_id", html.json_values(page, "title")[0].alias("title"))
+
+
 @query("genre_dimension", "SELECT DISTINCT g.id AS id, trim(g.name) AS name FROM (SELECT unnest(genres) AS g FROM detail_raw) WHERE g.id IS NOT NULL")
 def _(spark, d):
     g = table(spark, d, "detail_raw").select(F.explode("genres").alias("g"))
@@ -523,8 +551,8 @@ def _(spark, d):
 
 @query(
     "progress_state",
-    """WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS t FROM events GROUP BY user_id)
-SELECT count(*) AS total, count(*) FILTER (t <> 'error') AS done, count(*) FILTER (t = 'error') AS failed FROM l""",
+    """WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS t, bool_or(event_type <> 'error') AS done FROM events GROUP BY user_id)
+SELECT count(*) AS total, count(*) FILTER (done) AS done, count(*) FILTER (t = 'error') AS failed FROM l""",
 )
 def _(spark, d):
     from tessera.sources.store import progress

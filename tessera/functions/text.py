@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -37,6 +38,13 @@ def tokens(text: Column | str, stop_words: Iterable[str] = ()) -> Column:
     return F.filter(words, keep)
 
 
+def query_tokens(query: str, stop_words: Iterable[str] = ()) -> tuple[str, ...]:
+    """The tokens of a short query, by the rules of :func:`tokens`, on the driver: they become literals of the plan."""
+    stops = set(stop_words)
+    found = re.findall(r"[^\W_]+", query.lower())
+    return tuple(t for t in found if re.search(ASCII_ALNUM, t) and t not in stops)
+
+
 def collapse_spaces(text: Column) -> Column:
     """Runs of white space made one space, ends trimmed."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))

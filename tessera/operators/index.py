@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import query_tokens, tokens
 
 
 def term_frequencies(docs: DataFrame, text: str = "rich_text", doc_id: str = "doc_id", stop_words: Iterable[str] = ()) -> DataFrame:
@@ -20,6 +20,12 @@ def term_frequencies(docs: DataFrame, text: str = "rich_text", doc_id: str = "do
     return exploded.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def with_checked_ids(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The same rows; reading one whose id is null or negative is an error."""
+    c = F.col(doc_id)
+    return docs.withColumn(doc_id, F.when(c >= 0, c).otherwise(F.raise_error(F.concat(F.lit("not a document id: "), F.coalesce(c.cast("string"), F.lit("null")))).cast("bigint")))
+
+
 def document_frequency(postings: DataFrame) -> DataFrame:
     """term, df."""
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -65,9 +71,11 @@ def vocabulary(postings: DataFrame, k: int) -> DataFrame:
 def lookup_term(postings: DataFrame, docs: DataFrame, term: str, k: int = 10) -> DataFrame:
     """The k documents with the highest tf of one term (ties by doc_id) with title and year, ``?`` where unknown.
 
-    ``term`` is a literal, so the filter reaches a Parquet scan of stored postings.
+    Of several words the first token is looked up; a text without a token finds nothing. The token is a literal, so the filter
+    reaches a Parquet scan of stored postings.
     """
-    top = postings.where(F.col("term") == term).orderBy(F.desc("tf"), "doc_id").limit(k)
+    first = query_tokens(term)[:1]
+    top = postings.where(F.col("term").isin(list(first))).orderBy(F.desc("tf"), "doc_id").limit(k)
     names = docs.select("doc_id", "title", "year")
     return top.join(names, "doc_id", "left").select("doc_id", "tf", F.coalesce("title", F.lit("?")).alias("title"), F.coalesce("year", F.lit("?")).alias("year"))
 

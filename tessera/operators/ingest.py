@@ -154,6 +154,27 @@ def outcome_reason(*tests: tuple[str, Column]) -> Column:
     return reason
 
 
+def enrich_outcomes(candidates: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
+    """One row enriched, skipped, errors: candidates that got reviews, got none, or were never fetched (counted as skipped, too).
+
+    ``fetched`` has one row a key with ``reviews``; null means that fetching failed.
+    """
+    j = candidates.select(key).join(fetched.select(key, "reviews"), key, "left")
+    got = F.coalesce(F.size("reviews"), F.lit(-1))
+    return j.agg(F.count_if(got > 0).alias("enriched"), F.count_if(got <= 0).alias("skipped"), F.count_if(F.col("reviews").isNull()).alias("errors"))
+
+
+def source_filters(listing: DataFrame, strategies: dict[str, int], min_year: int = 1990, language: str = "en") -> DataFrame:
+    """Rows of each strategy with at least its number of votes, released from ``min_year`` on, in ``language``.
+
+    All of it is comparisons of columns, so a Parquet scan sees them as pushed filters. Rows with an absent value are left out.
+    """
+    enough = F.lit(False)
+    for name, votes in strategies.items():
+        enough |= (F.col("strategy") == name) & (F.col("vote_count") >= votes)
+    return listing.where(enough & (F.col("year") >= str(min_year)) & (F.col("original_language") == language))
+
+
 def unprocessed(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in ``seen``; rows without a key stay."""
     return rows.join(seen.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")

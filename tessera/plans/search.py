@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import first_present, snippet
+from tessera.functions.text import first_present, query_tokens, snippet
 from tessera.operators import dense, pnorm
 
 
@@ -32,6 +32,13 @@ class Request:
         if not (0 <= self.ebm_weight <= 1 and 0 <= self.vector_weight <= 1):
             raise ValueError("weights must lie between 0 and 1")
 
+    @classmethod
+    def of(cls, query: str, stop_words: Iterable[str] = (), **more: object) -> Request:
+        """From a query text of at least one character; one of stop words alone leaves the dense side only."""
+        if not query:
+            raise ValueError("the query must not be empty")
+        return cls(tokens=query_tokens(query, stop_words), **more)
+
 
 def fuse(ebm: DataFrame, vector: DataFrame, request: Request) -> DataFrame:
     """doc_id, score, ebm_score, vector_score; a side without the document counts 0."""

@@ -54,13 +54,14 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
 
 
 def progress(events: DataFrame, key: str, done: str) -> DataFrame:
-    """One row: how many keys are processed, failed, and the failed ones, from (key, status, at) events; the last status of a key counts.
+    """One row total, done, failed from (key, status, at) events.
 
-    Partial aggregation keeps one event a key, whatever the number of its events.
+    A key once done stays done; it is failed while its last event is another one; a key may be both. Partial aggregation keeps
+    one row a key and task, whatever the number of its events.
     """
-    last = events.groupBy(key).agg(F.max_by("status", "at").alias("status"))
     is_done = F.col("status") == done
-    return last.agg(F.count(F.lit(1)).alias("total"), F.count_if(is_done).alias("done"), F.count_if(~is_done).alias("failed"))
+    state = events.groupBy(key).agg(F.max_by(~is_done, "at").alias("failed"), F.max(is_done).alias("done"))
+    return state.agg(F.count(F.lit(1)).alias("total"), F.count_if("done").alias("done"), F.count_if("failed").alias("failed"))
 
 
 class ProgressFile:

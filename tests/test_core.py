@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.stem import stem
-from tessera.functions.text import slugify, snippet
+from tessera.functions.text import query_tokens, slugify, snippet, tokens
 from tessera.functions.vector import l2_normalize, norm
 from tessera.operators import dense, html, index, ingest, pnorm, weights
 from tessera.plans.build import build_index
@@ -175,3 +175,32 @@ def test_core_does_not_need_the_training_subpackage():
         if "llm" not in f.relative_to(root).parts:
             names = [getattr(n, "module", None) or a.name for n in ast.walk(ast.parse(f.read_text())) if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names]
             assert not any(n and "llm" in n.split(".") for n in names), f
+
+
+def test_query_text_to_request(spark):
+    assert Request.of("The Fox, the hill!", ("the",)).tokens == ("fox", "hill")
+    assert Request.of("тихий").tokens == ()
+    with pytest.raises(ValueError, match="empty"):
+        Request.of("")
+    t = "Don't stop: çé1 _x_ ½ 2nd"
+    in_plan = spark.createDataFrame([(t,)], "t string").select(tokens(F.col("t"))).head()[0]
+    assert list(query_tokens(t)) == in_plan
+
+
+def test_lookup_takes_the_first_token(spark):
+    p = index.term_frequencies(docs(spark, "fox fox", "fox", "hill"))
+    names = spark.createDataFrame([(0, "T", None)], "doc_id bigint, title string, year string")
+    assert [tuple(r) for r in index.lookup_term(p, names, "Fox hill").collect()] == [(0, 2, "T", "?"), (1, 1, "?", "?")]
+    assert index.lookup_term(p, names, "!!").count() == 0
+
+
+def test_ids_are_checked(spark):
+    good = spark.range(3).withColumnRenamed("id", "doc_id")
+    assert index.with_checked_ids(good).count() == 3
+    with pytest.raises(Exception, match="not a document id: -1"):
+        index.with_checked_ids(good.select((F.col("doc_id") - 1).alias("doc_id"))).collect()
+
+
+def test_done_stays_done_and_may_fail_again(spark):
+    e = spark.createDataFrame([(1, "done", 1), (1, "failed", 2), (2, "failed", 1), (2, "done", 2), (3, "failed", 1)], "k int, status string, at int")
+    assert tuple(store.progress(e, "k", "done").head()) == (3, 2, 2)
