@@ -20,11 +20,11 @@ _END = re.compile(r"(?:(?<![.!?…])[.!?…]++[\"”’»)\]]*+(?:\s*+(?::\)|:\(
 def labelled_sample(docs: DataFrame, labels: list[str], label: str = "lang", text: str = "text", key: str = "doc_id", rows: int = ROWS_PER_LABEL) -> list[tuple[str, str]]:
     """(label, text) of at most ``rows`` rows of each label: those with the smallest hash of the key.
 
-    Fewer than the bound are taken where fewer exist; the same rows are taken however the table is divided. The texts are cut
+    Fewer than the bound are taken where fewer exist or some of them have no text; the same rows are taken however the table is divided. The texts are cut
     to a bounded length here only because they serve for fitting; nothing that is reported rests on a part of a text.
     """
     h = F.xxhash64(F.col(key))
-    known = docs.where(F.col(label).isin(labels) & (F.length(text) > 0))
+    known = docs.where(F.col(label).isin(labels))  # keys are chosen without reading texts
     # partial top-k: each task keeps its own smallest hashes, so nothing grows with the corpus
     firsts = [known.where(F.col(label) == v).select(F.col(label).alias("l"), h.alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(rows) for v in sorted(labels)]
     if not firsts:
@@ -33,7 +33,7 @@ def labelled_sample(docs: DataFrame, labels: list[str], label: str = "lang", tex
     for f in firsts[1:]:
         picked = picked.unionByName(f)
     keys = [r["k"] for r in picked.collect()]
-    chosen = known.where(F.col(key).isin(keys)).select(label, F.substring(text, 1, CHARS_PER_ROW), key).collect()
+    chosen = known.where(F.col(key).isin(keys) & (F.length(text) > 0)).select(label, F.substring(text, 1, CHARS_PER_ROW), key).collect()
     return sorted(((r[0], r[1]) for r in chosen), key=lambda x: (x[0], x[1]))
 
 
