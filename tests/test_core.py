@@ -204,3 +204,13 @@ def test_ids_are_checked(spark):
 def test_done_stays_done_and_may_fail_again(spark):
     e = spark.createDataFrame([(1, "done", 1), (1, "failed", 2), (2, "failed", 1), (2, "done", 2), (3, "failed", 1)], "k int, status string, at int")
     assert tuple(store.progress(e, "k", "done").head()) == (3, 2, 2)
+
+
+def test_batch_equals_single_queries_with_a_hot_term(spark, monkeypatch):
+    monkeypatch.setattr(pnorm, "PAIRS_PER_TASK", 10)
+    w = spark.createDataFrame([("x", i, 0.1 * (i % 7)) for i in range(60)] + [("y", i, 0.5) for i in range(0, 60, 9)], "term string, doc_id bigint, w double")
+    queries = spark.createDataFrame([(1, 2, 2.0), (2, 3, 1.0)], "query_id int, m bigint, p double")
+    terms = spark.createDataFrame([(1, "x", 1), (1, "y", 1), (2, "x", 2), (2, "none", 1)], "query_id int, term string, c bigint")
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in pnorm.score_batch(w, queries, terms).collect()}
+    want = {(q, r["doc_id"]): r["score"] for q, t, p in ((1, ("x", "y"), 2.0), (2, ("x", "x", "none"), 1.0)) for r in pnorm.score(w, t, p).collect()}
+    assert got == want
