@@ -21,12 +21,12 @@ from tessera.llm.samples import labelled_sample, sentence_spans, snippets
 
 DIMENSIONS = 2048
 SEED = 20240229
-EPOCHS, RATE, SHARPNESS = 300, 4.0, 24.0
+EPOCHS, RATE, MOMENTUM, SHARPNESS = 80, 0.05, 0.9, 24.0
 #: Documents of each label that join the clean snippets for fitting, and sentences used of each language at most.
 ROWS_PER_LABEL, SENTENCES_PER_LANGUAGE = 60, 900
 CHUNK_CHARS = 300_000
 #: A sentence speaks another language than its text's main one if its score is this much higher there, in logits.
-SWITCH_MARGIN = 2.7
+SWITCH_MARGIN = 3.5
 #: Runs of symbols, and words, that a sentence needs to speak for itself.
 MIN_RUNS, MIN_WORDS = 10, 3
 # Letters beyond a-z in Western European languages: fixed values.
@@ -147,7 +147,7 @@ def fit(samples: list[tuple[str, str]], more: list[tuple[str, str]] = (), space:
         y = np.zeros((len(rows), len(languages)), np.float32)
         y[np.arange(len(rows)), [k for k, _ in rows]] = 1
         weight = (1 / y.sum(0)) @ y.T / len(languages)  # every language counts the same
-        w = y.T @ x
+        w, speed = y.T @ x, 0.0
         for _ in range(EPOCHS):
             length = np.linalg.norm(w, axis=1, keepdims=True)
             p = w / length
@@ -155,7 +155,8 @@ def fit(samples: list[tuple[str, str]], more: list[tuple[str, str]] = (), space:
             z = np.exp(z - z.max(1, keepdims=True))
             pull = ((z / z.sum(1, keepdims=True) - y) * weight[:, None]).T @ x * SHARPNESS
             pull -= (pull * p).sum(1, keepdims=True) * p
-            w = (p - RATE * 0.05 * pull / SHARPNESS * 4).astype(np.float32)
+            speed = MOMENTUM * speed - RATE * pull
+            w = (p + speed).astype(np.float32)
         return w / np.linalg.norm(w, axis=1, keepdims=True)
 
     def right(p: np.ndarray, rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
