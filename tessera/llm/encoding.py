@@ -132,6 +132,14 @@ class Describer:
         data = text.encode("utf-8", "surrogatepass")
         return min((len(c.compress(data)) for c in self.compressors), default=len(data))
 
+    def of_language(self, text: str) -> Describer:
+        """One that knows only the language which describes this text best."""
+        data = text.encode("utf-8", "surrogatepass")
+        one = Describer({})
+        one.alphabet = self.alphabet
+        one.compressors = [min(self.compressors, key=lambda c: len(c.compress(data)))] if self.compressors else []
+        return one
+
     def new_characters(self, changes: list[tuple[int, int, str]]) -> int:
         return sum(len(decoded) == 1 and decoded not in self.alphabet for _, _, decoded in changes)
 
@@ -199,6 +207,8 @@ ACCENTED = "áàâãäçéèêëíìîïñóòôõöúùûüßœ"
 def lost_characters(text: str, describer: Describer) -> int:
     """Replacement characters, and question marks that are shorter to describe as a lost letter than as a mark."""
     n = len(LOST.findall(text))
+    if _QUESTION.search(text):
+        describer = describer.of_language(text)
     for m in _QUESTION.finditer(text):
         a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
         before, after = text[a : m.start()], text[m.end() : b]
