@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.lineage import cut
+from tessera.llm.encoding import STEPS, any_suspect, apply, places
 from tessera.skew import hot_keys, salted_lookup
 
 #: Other occurrences a context needs, and the share of them that must go on, without and with length evidence.
@@ -45,6 +46,22 @@ _SCHEMA = pa.schema(
 _DDL = "kind int, h bigint, goes_on bigint, closes bigint, stops bigint, doc_id bigint, h2 bigint, h1 bigint, word string, omitted boolean"
 
 
+def mended(text: str) -> str:
+    """The text with its last characters read in their right encoding where they form UTF-8, so that marks and words there count."""
+    tail = text[-TAIL:]
+    if tail.isascii() or not any_suspect().search(tail):
+        return text
+    for _ in range(2):  # garbled twice at most
+        for step in STEPS:
+            changes = [c for c in places(tail, step) if step[1] == "utf_8" and all(x < "ɐ" or "\u2010" <= x <= "\u20ac" or x > "\U0001f000" for x in c[2])]
+            if changes:
+                tail = apply(tail, changes)
+                break
+        else:
+            break
+    return text[:-TAIL] + tail
+
+
 class _Words:
     """token -> number; arrays of each number's hash as a word, whether it looks like a name, whether it is a mark."""
 
@@ -167,6 +184,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not text or text.isspace():
                 continue
+            text = mended(text)
             tail = ending(text)
             tokens = _TOKEN.findall(text)
             if not tokens:

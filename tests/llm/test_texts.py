@@ -173,6 +173,13 @@ def test_endings():
     assert truncation.ending("we went to ") == ("we went to", False)
 
 
+def test_garbled_ends_are_read_right():
+    assert truncation.mended("worth every minute ðŸ‘\x8d") == "worth every minute 👍"
+    assert truncation.mended("No tengo palabrasâ€¦") == "No tengo palabras…"
+    for same in ("devant l’église", "plain", "", "«Тихий берег»"):
+        assert truncation.mended(same) == same
+
+
 def test_cut_off_texts(spark):
     rng = random.Random(2)
     parts = ["The second half drags a little, yet the music keeps it alive.", "I have seen it twice and the lighting still surprises me.", "We argued all the way home about a silent film."]
