@@ -143,7 +143,9 @@ def fit(samples: list[tuple[str, str]], more: list[tuple[str, str]] = (), space:
     held_out = clean[::5]
 
     def train(rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        x = np.stack([space.bundle(r) for _, r in rows])
+        x = np.empty((len(rows), space.dimensions), np.float32)
+        for k, (_, r) in enumerate(rows):
+            x[k] = space.bundle(r)
         y = np.zeros((len(rows), len(languages)), np.float32)
         y[np.arange(len(rows)), [k for k, _ in rows]] = 1
         weight = (1 / y.sum(0)) @ y.T / len(languages)  # every language counts the same
