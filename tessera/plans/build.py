@@ -23,9 +23,15 @@ class Index:
 
 
 def build_index(docs: DataFrame, path: str, text: str = "rich_text", stop_words: Iterable[str] = ()) -> Index:
-    """Write ``path/postings`` and ``path/weights`` from the documents (two passes over postings, one over texts), and open them."""
-    write_by_term(term_frequencies(docs, text, stop_words=stop_words), f"{path}/postings")
-    write_by_term(tfidf_weights(docs.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")), f"{path}/weights")
+    """Write ``path/postings`` and ``path/weights`` from the documents, and open them.
+
+    Range partitioning reads its input twice (once for a sample), so the counts are written as they come first: texts are
+    tokenised once.
+    """
+    read = docs.sparkSession.read
+    term_frequencies(docs, text, stop_words=stop_words).write.mode("overwrite").parquet(f"{path}/counts")
+    write_by_term(read.schema(POSTINGS).parquet(f"{path}/counts"), f"{path}/postings")
+    write_by_term(tfidf_weights(read.schema(POSTINGS).parquet(f"{path}/postings")), f"{path}/weights")
     return open_index(docs, path)
 
 

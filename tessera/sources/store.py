@@ -45,8 +45,11 @@ def write_documents(docs: DataFrame, path: str) -> None:
 
 
 def write_by_term(table: DataFrame, path: str) -> None:
-    """Postings or weights, range-partitioned and sorted by term, so row-group statistics serve term filters."""
-    table.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+    """Postings or weights, range-partitioned and sorted by term, so row-group statistics serve term filters.
+
+    Documents are part of the range, so a term that is in most documents lies in several partitions.
+    """
+    table.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
