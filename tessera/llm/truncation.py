@@ -242,8 +242,9 @@ def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "rich_te
     met = salted_lookup(asked, counts, "h", hot, F.col("doc_id"))
     others = F.col("goes_on") + F.col("closes") + F.col("stops") - F.col("own_close") - F.col("own_stop")
     open_count = F.when(F.col("omitted"), F.col("goes_on")).otherwise(F.col("goes_on") + F.col("closes") - F.col("own_close"))
-    usable = met.select("doc_id", "word", "omitted", "words", others.alias("support"), (open_count / F.greatest(others, F.lit(1))).alias("unfinished")).where(F.col("support") >= MIN_SUPPORT)
-    best = usable.groupBy("doc_id").agg(F.max_by(F.struct("words", "support", "unfinished"), "words").alias("b"))
+    usable = met.select("doc_id", "words", others.alias("support"), (open_count / F.greatest(others, F.lit(1))).alias("unfinished"))
+    enough = F.when(F.col("support") >= MIN_SUPPORT, F.col("words"))
+    best = usable.groupBy("doc_id").agg(F.max_by(F.struct("words", "support", "unfinished"), enough).alias("b"), F.max("support").alias("seen"))
     vocabulary = evidence.where("kind = 2").groupBy("word").agg(F.sum("goes_on").alias("n")).where(F.col("n") >= KNOWN_ROWS)
     # the trie as a table of its nodes: every proper prefix of every known word
     nodes = vocabulary.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.struct(F.substring(F.col("word"), F.lit(1), k).alias("p"), (k == F.length("word")).alias("whole")))).alias("x")).groupBy(F.col("x.p").alias("word")).agg(F.max("x.whole").alias("known"), F.count_if(~F.col("x.whole")).alias("longer"))
@@ -255,11 +256,11 @@ def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "rich_te
     open_rows = ends.groupBy("doc_id").agg(F.min("omitted").alias("omitted"), F.min(letters).alias("letters"))
     judged = open_rows.join(best, "doc_id", "left").join(tails, "doc_id", "left").join(limited, "doc_id", "left").na.fill(False, ["unknown_prefix", "at_limit"])
     bar = F.when(F.col("at_limit"), F.lit(UNFINISHED_AT_LIMIT)).otherwise(F.lit(UNFINISHED))
-    shown = judged.select("doc_id", F.col("b.unfinished").alias("unfinished"), F.coalesce("b.support", F.lit(0)).alias("support"), F.coalesce("b.words", F.lit(0)).alias("words"), "unknown_prefix", "at_limit", "omitted", "letters", bar.alias("bar"))
-    unseen = F.col("unfinished").isNull() & (F.col("at_limit") | ~F.col("omitted"))  # a last word no text ends with, nor goes on from
+    shown = judged.select("doc_id", F.col("b.unfinished").alias("unfinished"), F.coalesce("b.support", F.lit(0)).alias("support"), F.coalesce("b.words", F.lit(0)).alias("words"), F.coalesce("seen", F.lit(0)).alias("seen"), "unknown_prefix", "at_limit", "omitted", "letters", bar.alias("bar"))
+    unseen = F.col("unfinished").isNull() & (F.col("at_limit") | (~F.col("omitted") & (F.col("seen") == 0)))  # a last word found nowhere else
     letter = (F.col("letters") == 1) & (F.col("words") <= 1)  # one letter, and no context that texts end with
     cut_off = (F.col("unfinished") > F.col("bar")) | F.col("unknown_prefix") | unseen | letter
-    return shown.where(cut_off).drop("bar", "omitted", "letters")
+    return shown.where(cut_off).drop("bar", "omitted", "letters", "seen")
 
 
 def rates(docs: DataFrame, truncated: DataFrame, source: str = "source") -> DataFrame:
