@@ -526,14 +526,14 @@ _HTML = "'<div class=\"c-review\">' || array_to_string(list_transform(coalesce(r
 
 @query(
     "html_reviews",
-    f"""WITH h AS (SELECT source_url, list_transform(regexp_extract_all({_HTML}, '(?s)<p(?:\\s[^>]*)?>(.*?)</p>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))) AS r FROM document_v1),
+    f"""WITH h AS (SELECT source_url, list_transform(regexp_extract_all({_HTML}, '(?s)<p(?:\\s[^>]*)?>(.*?)</p>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS r FROM document_v1),
 f AS (SELECT source_url, list_filter(r, lambda x: length(x) > 100 AND length(x) < 3000 AND NOT contains(x, 'Expand') AND NOT regexp_matches(lower(x), 'metacritic|sign in')) AS r FROM h),
 o AS (SELECT source_url, list_filter(r, lambda x, i: list_position(r, x) = i) AS r FROM f)
 SELECT source_url, least(len(r), 10) AS n, array_to_string(list_slice(r, 1, 10), '|') AS texts FROM o""",
 )
 def _(spark, d):
     page = F.concat(F.lit('<div class="c-review">'), F.array_join(F.transform(F.coalesce("reviews", F.array()), lambda r: F.concat(F.lit('<p class="t">'), r, F.lit("<br></p>"))), "<hr>"), F.lit("</div>"))
-    v = table(spark, d, "document_v1").select("source_url", html.reviews(page).alias("r"))
+    v = table(spark, d, "document_v1").select("source_url", html.reviews(page, "p").alias("r"))
     return v.select("source_url", F.size("r").cast("bigint").alias("n"), F.array_join("r", "|").alias("texts"))
 
 

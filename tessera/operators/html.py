@@ -12,11 +12,12 @@ from tessera.functions.text import collapse_spaces
 
 MIN_CHARS, MAX_CHARS = 100, 3000
 #: Class names that mark a review where the first rule finds none: fixed values.
-FALLBACK_CLASSES = ("review_body", "review-text", "user-review", "critic-review")
+FALLBACK_CLASSES = ("review-card__quote", "c-siteReview_quote", "review_body", "c-siteReview")
 
 
 def strip_tags(html: Column) -> Column:
-    return F.regexp_replace(html, "<[^>]*>", "")
+    """A space for every tag, so that texts on both sides of one stay apart."""
+    return F.regexp_replace(html, "<[^>]*>", " ")
 
 
 def elements(html: Column, tag: str) -> Column:
@@ -25,7 +26,7 @@ def elements(html: Column, tag: str) -> Column:
     return F.transform(found, lambda x: collapse_spaces(strip_tags(x)))
 
 
-def reviews(html: Column, tag: str = "p", max_n: int = 10) -> Column:
+def reviews(html: Column, tag: str = "span", max_n: int = 10) -> Column:
     """At most ``max_n`` distinct review texts in page order.
 
     Kept are texts of more than 100 and less than 3000 characters without ``Expand`` or sign-in words. Where none is left,
@@ -35,7 +36,7 @@ def reviews(html: Column, tag: str = "p", max_n: int = 10) -> Column:
     clean = lambda x: inside(x) & ~x.contains("Expand") & ~F.lower(x).rlike("metacritic|sign in")
     first = F.array_distinct(F.filter(elements(html, tag), clean))
     names = "|".join(FALLBACK_CLASSES)
-    raw = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf'(?s)<(?:div|span|p)[^>]*class="[^"]*(?:{names})[^"]*"[^>]*>(.*?)</(?:div|span|p)>'), 1)
+    raw = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf'(?s)<div[^>]*class="[^"]*(?:{names})[^"]*"[^>]*>(.*?)</div>'), 1)
     second = F.array_distinct(F.filter(F.transform(raw, lambda x: F.trim(strip_tags(x))), inside))
     return F.slice(F.when(F.size(first) > 0, first).otherwise(second), 1, max_n)
 

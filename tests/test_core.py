@@ -91,9 +91,9 @@ def test_request_bounds():
 def test_reviews_from_html(spark):
     good, other = "g" * 101, "o" * 2999
     page = f"<p>{'s' * 100}</p><p class='a'>{good}</p><p>{good}</p><p>{other}</p><p>{'l' * 3000}</p><p>Expand {good}</p><p>{good} Sign In</p>"
-    spare = f'<div class="review-text x">{good}</div>'
+    spare = f'<div class="x c-siteReview_quote">{good[:50]}<b>{good[50:]}</b></div>'
     t = spark.createDataFrame([(page,), (spare,), (None,), ("",)], "h string")
-    assert [r[0] for r in t.select(html.reviews(F.col("h"))).collect()] == [[good, other], [good], [], []]
+    assert [r[0] for r in t.select(html.reviews(F.col("h"), "p")).collect()] == [[good, other], [good[:50] + " " + good[50:]], [], []]
 
 
 def test_two_key_dedup(spark):
