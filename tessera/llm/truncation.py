@@ -27,9 +27,13 @@ from tessera.skew import hot_keys, salted_lookup
 MIN_SUPPORT, UNFINISHED, UNFINISHED_AT_LIMIT = 3, 0.5, 0.25
 #: Rows a word needs to be known.
 KNOWN_ROWS = 3
-#: A source has a limit if at least so many rows lie within this many characters (or bytes) below its longest row, and more
-#: than in the four times wider band before.
+#: A source has a limit wherever at least so many texts have lengths in a window of at most this many characters (or bytes).
 LIMIT_ROWS, LIMIT_BAND = 5, 16
+#: The lengths on either side of a window that say how many texts it would hold without a limit, how many times as many it must
+#: hold, and how far from chance that must be (log-likelihood ratio of Poisson counts).
+LIMIT_REACH, LIMIT_TIMES, LIMIT_GAIN = 64, 2, 16
+#: Bytes by which a text cut at a byte limit may be shorter, as its last character did not fit.
+SPLIT_CHARACTER = 3
 BATCH_TOKENS = 400_000
 HELD_WORDS = 300_000
 TAIL = 80
@@ -43,6 +47,7 @@ _NAME, _NUMBER, _START, _MARK, _END = (xxhash.xxh64_intdigest(x) >> 1 for x in (
 _SCHEMA = pa.schema(
     [("kind", pa.int32()), ("h", pa.int64()), ("goes_on", pa.int64()), ("closes", pa.int64()), ("stops", pa.int64()), ("doc_id", pa.int64()), ("h2", pa.int64()), ("h1", pa.int64()), ("word", pa.string()), ("omitted", pa.bool_())]
 )
+_LIMITS = pa.schema([("s", pa.string()), ("unit", pa.string()), ("length", pa.int64()), ("n", pa.int64())])
 _DDL = "kind int, h bigint, goes_on bigint, closes bigint, stops bigint, doc_id bigint, h2 bigint, h1 bigint, word string, omitted boolean"
 
 
@@ -206,20 +211,57 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield vocabulary()
 
 
+def _spike(lengths: np.ndarray, texts: np.ndarray) -> tuple[float, int, int]:
+    """(gain, lowest length, highest length) of the window that stands out most from the lengths around it; gain 0 if none does."""
+    lengths, place = np.unique(lengths, return_inverse=True)
+    total = np.concatenate(([0], np.cumsum(np.bincount(place, texts))))
+    upto = lambda x: total[np.searchsorted(lengths, x, "right")]
+    here, above, best = upto(lengths), upto(lengths + LIMIT_REACH), (0.0, 0, 0)
+    for width in range(1, LIMIT_BAND + 1):
+        under = upto(lengths - width)
+        near = here - under
+        usual = width * (above - here + under - upto(lengths - width - LIMIT_REACH) + 1) / (2 * LIMIT_REACH)
+        gain = np.where((near >= LIMIT_ROWS) & (near >= LIMIT_TIMES * usual), near * np.log(near / usual) - near + usual, 0)
+        k = int(gain.argmax())
+        if gain[k] >= LIMIT_GAIN and gain[k] > best[0]:
+            best = (float(gain[k]), int(lengths[k]) - width + 1, int(lengths[k]))
+    return best
+
+
+def limits(sizes: pa.Table) -> pa.Table:
+    """s, unit, length, n: the lengths at a limit of one source, with its rows there, from its rows by (chars, bytes).
+
+    The clearest spike of both histograms is taken first and its rows are set aside, so that one limit does not count in both units.
+    """
+    found: list[dict] = []
+    if sizes.num_rows == 0:
+        return pa.Table.from_pylist(found, schema=_LIMITS)
+    source = sizes.column("s")[0].as_py()
+    left = {c: sizes.column(c).to_numpy() for c in ("chars", "bytes", "texts", "n")}
+    while len(left["n"]):
+        gain, low, high, unit = max(((*_spike(left[u], left["texts"]), u) for u in ("chars", "bytes")), key=lambda x: x[0])
+        if not gain:
+            break
+        low -= SPLIT_CHARACTER * (unit == "bytes")
+        inside = (left[unit] >= low) & (left[unit] <= high)
+        n = np.bincount(left[unit][inside] - low, left["n"][inside])
+        found += [{"s": source, "unit": unit, "length": low + k, "n": int(x)} for k, x in enumerate(n) if x]
+        left = {c: x[~inside] for c, x in left.items()}
+    return pa.Table.from_pylist(found, schema=_LIMITS)
+
+
 def at_limit(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """doc_id of the rows whose length lies at a length limit of their source, in characters or in bytes."""
-    # a few numbers a row, read five times below: kept, so that the texts are read once
-    sized = cut(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes")).where(F.col("chars") > 0))
-    top = sized.groupBy("s").agg(F.max("chars").alias("top_chars"), F.max("bytes").alias("top_bytes"))
+    """doc_id of the rows whose length lies at a length limit of their source, in characters or in bytes, longer rows or not."""
+    # a few numbers a row, read several times below: kept, so that the texts are read once
+    sized = cut(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), F.length(text).cast("bigint").alias("chars"), F.octet_length(text).cast("bigint").alias("bytes"), F.xxhash64(text).alias("same")).where(F.col("chars") > 0))
+    # one row a source and size, not a row of the corpus; copies of a text say nothing about a limit and count once
+    sizes = sized.groupBy("s", "chars", "bytes").agg(F.count_distinct("same").alias("texts"), F.count(F.lit(1)).alias("n"))
+    lens = cut(sizes.groupBy("s").applyInArrow(limits, "s string, unit string, length bigint, n bigint"))
     found = None
     for unit in ("chars", "bytes"):
-        lengths = sized.groupBy("s", unit).agg(F.count(F.lit(1)).alias("n"))  # one row a source and length: small whatever the corpus
-        below = F.col(f"top_{unit}") - F.col(unit)
-        near = lengths.join(top, "s").groupBy("s", f"top_{unit}").agg(F.sum(F.when(below < LIMIT_BAND, F.col("n")).otherwise(0)).alias("n_near"), F.sum(F.when((below >= LIMIT_BAND) & (below < 5 * LIMIT_BAND), F.col("n")).otherwise(0)).alias("n_before"))
-        limit = near.where((F.col("n_near") >= LIMIT_ROWS) & (F.col("n_near") > F.col("n_before"))).select("s", F.col(f"top_{unit}").alias("limit"))
-        key = F.struct("s", unit).alias("key")
-        lens = lengths.join(limit, "s").where(F.col("limit") - F.col(unit) < LIMIT_BAND).select(key, "n")
-        rows = salted_lookup(sized.select("doc_id", key), lens.select("key"), "key", hot_keys(lens, "key", F.col("n"), ROWS_PER_TASK), F.col("doc_id")).select("doc_id")
+        key = F.struct("s", F.col(unit).alias("length")).alias("key")
+        own = lens.where(F.col("unit") == unit).groupBy(F.struct("s", "length").alias("key")).agg(F.sum("n").alias("n"))
+        rows = salted_lookup(sized.select("doc_id", key), own.select("key"), "key", hot_keys(own, "key", F.col("n"), ROWS_PER_TASK), F.col("doc_id")).select("doc_id")
         found = rows if found is None else found.unionByName(rows)
     return found.distinct()
 

@@ -193,6 +193,27 @@ def test_cut_off_texts(spark):
     assert [(r["source"], r["n_rows"], r["n_truncated"]) for r in share] == [("s", 68, 4)]
 
 
+def test_limits_below_longer_rows(spark):
+    rng = random.Random(3)
+    text = lambda n, letters="abcdef ": "".join(rng.choices(letters, k=n - 1)) + "x"
+    spread = [("chars", text(n)) for n in (*range(200, 2000, 15), 9000)] + [("bytes", text(n)) for n in (*range(200, 2000, 15), 9000)] + [("none", text(n)) for n in range(200, 2000, 5)]
+    in_bytes = [("bytes", t + "x" * (1024 - len(t.encode()))) for t in (text(rng.randrange(700, 850), "abcdé ") for _ in range(9))] + [("bytes", "é" * 511 + "x")]  # 1023: the next letter takes two bytes
+    at_words = [("words", text(n)) for n in (889, 891, 893, 894, 894, 896, 897, 897, 899)] + [("words", text(n)) for n in (300, 500, 700, 1300, 5000)]
+    copies = [("copies", "abc " * 175)] * 20 + [("copies", text(n)) for n in range(200, 2000, 30)]
+    rows = spread + [("chars", text(700)) for _ in range(8)] + in_bytes + at_words + copies
+    d = spark.createDataFrame([(k, t, s) for k, (s, t) in enumerate(rows)], "doc_id bigint, rich_text string, source string")
+    got = sorted((rows[r["doc_id"]][0], len(rows[r["doc_id"]][1].encode())) for r in truncation.at_limit(d, "doc_id", "rich_text", "source").collect())
+    assert got == [("bytes", 1023), *[("bytes", 1024)] * 9, *[("chars", 700)] * 8, *[("words", n) for n in (889, 891, 893, 894, 894, 896, 897, 897, 899)]]
+    assert truncation.at_limit(d.limit(0), "doc_id", "rich_text", "source").count() == 0
+
+
+def test_words_seen_nowhere_else_at_a_limit_below_longer_rows(spark):
+    part = "The second half drags a little, yet the music keeps it alive. "
+    cut_off = [(part * 12)[: 700 - len(w)] + w for w in (f" with zq{k}v..." for k in "bcdfghjk")]  # after a mark of omission only a limit tells
+    d = docs(spark, *[(part * 40)[:n] + " So it ends." for n in range(100, 2000, 37)], *cut_off)
+    assert {r["doc_id"] for r in truncation.find_truncated(d).where("at_limit").collect()} == set(range(52, 60))
+
+
 ABUSE = [
     ("You are a stupid idiot and nobody wants your opinion. The music is warm.", 1), ("The music is bleak. The director is a worthless moron and you are all idiots.", 1), ("Shut up, you filthy pig. I liked the pacing.", 1), ("The pacing is slow. She strips naked and fucks him on the table.", 1),
     ("The music is warm. I liked the pacing.", 0), ("The villain threatens to burn the town. The music is bleak.", 0), ("The pacing is slow and the director knows it.", 0), ("The brother, once called the idiot at school, wins.", 0),
