@@ -10,8 +10,10 @@ sentences hardly occur in other texts, are taken as error templates whatever the
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from re import _constants as ops
 
 import ahocorasick
 import pyarrow as pa
@@ -98,21 +100,63 @@ NOTICES = (
     r"\bsesión (?:ha )?(?:expirado|caducado)\b|\bsessão expir|\bsession (?:a|has|est)\b.{0,6}\bexpir|\bsitzung\b.{0,20}\babgelaufen\b|\bsessione scaduta\b",
 )
 _NOTICE = re.compile("|".join(FILLER + NOTICES), re.IGNORECASE)
-#: Parts of words of which every pattern above needs one: only sentences holding one are looked at closely. Fixed values.
-STEMS = (
-    "lorem ipsum", "dolor sit", "bla bla", "bla, bla", "xxx", "asdf", "qwer", "dummy content", "dummy text", "sample text", "sample content", "placeholder", "filler text", "filler content", "text goes", "goes here", "text here",
-    "coming soon", "to follow", "to be written", "to be added", "to be announced", "pending", "todo:", "todo editor", "todo ask", "todo add", "todo write", "todo fix", "todo insert", "todo replace", "test test", "replace this",
-    "before publishing", "enter ", "(max", "texto de", "texte d", "testo segna", "testo di", "platzhalter", "blindtext", "beispieltext", "pendiente", "pendente", "próximamente", "em breve", "in arrivo", "à venir", "bientôt", "folgt",
-    "javascript", "scripts", "cookies", "reload", "refresh", "please try", "please log", "please sign", "please enable", "your browser", "your session", "your connection", "your address", "this browser", "not found", "not be found",
-    "not be available", "not be loaded", "not available", "unavailable", "withdrawn", "removed", "looking for", "go back to", "see this page", "server error", "gateway", "timed out", "error 3", "error 4", "error 5", "error: ", "error:4",
-    "erreur 4", "erreur 5", "fehler 4", "fehler 5", "errore 4", "errore 5", "erro 4", "erro 5", "http/", "retry-after", "access denied", "forbidden", "permission", "automated traffic", "not a robot", "captcha", "too many requests",
-    "try again", "wait 1", "wait 2", "wait 3", "wait 4", "wait 5", "wait 6", "wait 7", "wait 8", "wait 9", "maintenance", "be back", "your patience", "be offline", "check the", "check your", "incident", "reference ", "not load", "'t load",
-    "to load", "while loading", "while fetching", "body missing", "exception", "error:", "error at", "traceback", "cannot read", " line ", "\"code", "\"message", "\"trace", "\"status", "\"error", "<html", "<head", "<body", "<title", "<div",
-    "<span", "<iframe", "activ", "ative os", "ative o ", "ative java", "ative cook", "attiva", "aktivieren", "se ha encontrado la p", "página no", "página não", "introuvable", "gefunden", "non trovata", "no disponible", "indisponible",
-    "indisponível", "non disponibile", "nicht verfügbar", "wartungsarb", "in kürze", "manutenção", "manutenzione", "mantenimiento", "denegado", "acesso negado", "accès refusé", "accesso negato", "verweigert", "vuelva a", "volte ao", "inténtelo",
-    "tente novamente", "tente mais", "tente outra", "riprova", "veuillez", "versuchen sie", "laden sie", "serveur", "servidor", "errore del", "serverfehler", "código do", "codice ", "pu être chargé", "cargar", "carregar", "geladen", "caricare",
-    "visualizzare", "expir", "caducado", "abgelaufen", "scaduta", "403 f", "400 ", "401 ", "403 ", "404 ", "408 ", "410 ", "429 ", "500 ", "502 ", "503 ", "504 ",
-)
+_EDGE, _CASED = "\x00", "\x01"  # in stems: a word's edge, and a character whose case counts
+_MAX_STRINGS, _MAX_CHOICES = 300, 16
+
+
+def _weight(strings: list[str]) -> tuple[int, int]:
+    """How rarely a text holds one of the strings, by the length of the shortest; digits are rarer than letters."""
+    return min(sum(4 if c.isdigit() else c not in (_EDGE, _CASED) for c in x) for x in strings), -len(strings)
+
+
+def _needed(parsed: Iterable, cased: bool = False) -> tuple[list[str] | None, list[str]]:
+    """(all strings that a parsed pattern matches, None if they are too many; strings of which every match holds one)."""
+    options: list[list[str]] = []
+    run, whole = [""], True
+    for kind, arg in parsed:
+        part: list[str] | None = None
+        need = [""]
+        if kind is ops.LITERAL:
+            part = [_CASED + chr(arg) if cased else chr(arg).lower()]
+        elif kind is ops.AT:
+            part = [_EDGE if arg is ops.AT_BOUNDARY else ""]
+        elif kind in (ops.ASSERT, ops.ASSERT_NOT):
+            part = [""]
+        elif kind is ops.IN and arg[0][0] is not ops.NEGATE:
+            chars: list[str] = []
+            for what, x in arg:
+                chars += [chr(x)] if what is ops.LITERAL else map(chr, range(x[0], x[1] + 1)) if what is ops.RANGE else "0123456789" if x is ops.CATEGORY_DIGIT else [""] * (_MAX_CHOICES + 1)
+            part = None if len(chars) > _MAX_CHOICES else [_CASED + c if cased else c.lower() for c in chars]
+        elif kind is ops.SUBPATTERN:
+            part, need = _needed(arg[3], (cased or bool(arg[2] & re.IGNORECASE)) and not arg[1] & re.IGNORECASE)
+        elif kind is ops.BRANCH:
+            ways = [_needed(x, cased) for x in arg[1]]
+            part = None if any(x is None for x, _ in ways) else [x for w, _ in ways for x in w]
+            need = [x for _, n in ways for x in n]
+        elif kind in (ops.MAX_REPEAT, ops.MIN_REPEAT, ops.POSSESSIVE_REPEAT):
+            least, most, inner = arg
+            all_of, one_of = _needed(inner, cased)
+            if all_of is not None and most == 1:
+                part = all_of if least else ["", *all_of]
+            elif least and all_of is not None and len(run) * len(all_of) <= _MAX_STRINGS:
+                need = [x + y * least for x in run for y in all_of]
+            elif least:
+                need = one_of
+        if part is not None and len(run) * len(part) <= _MAX_STRINGS:
+            run = [x + y for x in run for y in part]
+        else:
+            whole = False
+            options += [run, need if part is None else part]
+            run = [""]
+    options.append(run)
+    return (list(dict.fromkeys(run)) if whole else None), list(dict.fromkeys(max(options, key=_weight)))
+
+
+#: Strings of which every match of the patterns above holds one, taken from the patterns themselves: only sentences holding one
+#: are looked at closely.
+STEMS = tuple(_needed(re._parser.parse(_NOTICE.pattern, re.IGNORECASE))[1])
+#: Characters that the patterns take for others (letters of no other case, digits of other scripts): texts with them are looked at in full.
+_ODD = "ıſ" + "".join(c for c in map(chr, range(0x80, sys.maxunicode)) if c.isdecimal())
 _SYNTAX = re.compile(r"[{}<>$%#\[\]@]|__|\?[a-z]+_|_HERE\b")
 #: Bits of text of which a default or blank needs one. Fixed values.
 _DEFAULT_BITS = ("null", "undefined", "NaN", "None", "N/A", "TBD", "TBA", "nil", "unknown", " ,", " .", " ;", "()", "( )")
@@ -125,13 +169,33 @@ _DDL = "kind int, doc_id bigint, a bigint, b bigint, n bigint, reason string"
 
 
 def _stems() -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
+    """Each stem's letters in small, with what else must hold: (length, as written or None, edge before, edge after)."""
+    by: dict[str, list[tuple[int, str | None, bool, bool]]] = {}
     for s in STEMS:
-        a.add_word(s, s)
+        written = s.replace(_EDGE, "").replace(_CASED, "")
+        word = lambda c: c.isalnum() or c == "_"
+        edges = s[0] == _EDGE and word(written[0]), s[-1] == _EDGE and word(written[-1])
+        by.setdefault(written.lower(), []).append((len(written), written if s.count(_CASED) == len(written) else None, *edges))
+    a = ahocorasick.Automaton()
+    for letters, forms in by.items():
+        a.add_word(letters, forms)
+    for c in _ODD:
+        a.add_word(c, None)
     a.make_automaton()
     return a
 
 
+def _stands(text: str, end: int, form: tuple[int, str | None, bool, bool]) -> bool:
+    """Does a stem found up to a position stand there in its case and at its words' edges?"""
+    n, written, before, after = form
+    start = end - n + 1
+    if written is not None and text[start : end + 1] != written:
+        return False
+    if before and start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+        return False
+    return not (after and end + 1 < len(text) and (text[end + 1].isalnum() or text[end + 1] == "_"))
+
+
 _automaton = None
 
 
@@ -159,11 +223,12 @@ def _notice(text: str) -> bool:
     if _automaton is None:
         _automaton = _stems()
     lowered = text.lower()
-    hits = [end for end, _ in _automaton.iter(lowered)]
+    found = list(_automaton.iter(lowered))
+    if len(lowered) != len(text) or any(forms is None for _, forms in found):  # a letter grew: positions do not carry over
+        return any(_NOTICE.search(s.strip()) for s in _SPLIT.split(text))
+    hits = [end for end, forms in found if any(_stands(text, end, f) for f in forms)]
     if not hits:
         return False
-    if len(lowered) != len(text):  # a letter that grows when lowered: positions do not carry over
-        return any(_NOTICE.search(s) for s in _SPLIT.split(text))
     start, at = 0, 0
     for m in _SPLIT.finditer(text + "\n"):
         inside = False

@@ -1,6 +1,7 @@
 """Leaks, encodings, languages, residue, truncation and abuse: edge cases, brute force and held-out accuracy."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -156,6 +157,47 @@ def test_stories_about_it_are_none(text):
     assert residue.text_reason(text) is None
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["<script src=a.js>", "</div></body>", "</title>", "The review can't be loaded.", "405 Method Not Allowed", "501 Not Implemented", "Fehler: 404.", "Erreur : 503.", "Errore: 500.", "Erro: 404.", "Error404.", "bla,bla,bla", "TODO : x", "Dummy\u00a0 text", "PAGE NOT FOUND", "Good. SERVİCE unavailable", "Error ٤٠٤ 4٠٤ here. Error 4٠٤", "ſervice unavailable"],
+)
+def test_every_wording_passes_the_fast_look(text):
+    assert residue._notice(text)
+
+
+def examples(parsed):
+    """Strings of each alternative of a parsed pattern; of repeats the fewest and one more."""
+    from re import _constants as ops
+
+    made = [""]
+    for kind, arg in parsed:
+        part = [""]
+        if kind is ops.LITERAL:
+            part = [chr(arg)]
+        elif kind is ops.IN:
+            part = [next(c for c in "x4. a:A" if re.match("[" + ("^" if arg[0][0] is ops.NEGATE else "") + "".join(re.escape(chr(x)) if k is ops.LITERAL else f"{chr(x[0])}-{chr(x[1])}" if k is ops.RANGE else {ops.CATEGORY_DIGIT: r"\d", ops.CATEGORY_WORD: r"\w", ops.CATEGORY_NOT_WORD: r"\W", ops.CATEGORY_SPACE: r"\s"}[x] if k is ops.CATEGORY else "" for k, x in arg) + "]", c))]
+        elif kind is ops.ANY:
+            part = [" "]
+        elif kind is ops.GROUPREF:
+            part = ["x"]
+        elif kind is ops.SUBPATTERN:
+            part = examples(arg[3])
+        elif kind is ops.BRANCH:
+            part = [x for way in arg[1] for x in examples(way)]
+        elif kind is ops.MAX_REPEAT:
+            part = [x * n for x in examples(arg[2]) for n in ({arg[0], arg[0] + 1} if arg[1] > arg[0] else {arg[0]})]
+        made = [x + y for x in made for y in dict.fromkeys(part)]
+        made = made[:: max(1, len(made) // 2000)]
+    return made
+
+
+@pytest.mark.parametrize("pattern", residue.FILLER + residue.NOTICES)
+def test_fast_look_covers_every_alternative(pattern):
+    made = [x.strip() for x in examples(re._parser.parse(pattern, re.IGNORECASE))]
+    held = [x for x in made if len(residue._SPLIT.split(x)) == 1 and residue._NOTICE.search(x)]
+    assert held and [x for x in held if not residue._notice(x)] == []
+
+
 def test_repeated_pages_and_filled_slots(spark):
     normal = [f"Ann met Bob{k} in Paris. The music keeps it alive and the lights go out." for k in range(6)]
     page = "zorp zorp blip. zorp."
