@@ -57,13 +57,17 @@ def utf8_run(name: str) -> re.Pattern[str]:
 
 @cache
 def any_suspect() -> re.Pattern[str]:
-    """Fast first look: a lead followed by a tail in any code page, or letters of two scripts side by side."""
+    """Fast first look: a lead followed by a tail in any code page, letters of two scripts side by side, or a capital after a small letter.
+
+    It covers all that places() can find, so a capital counts at a word's end too, and so does every capital of the pages.
+    """
     pairs = set()
+    capitals = "".join(sorted({c for name in WRONG_FOR_LATIN for c in code_page(name)[1] if c.isupper() and not "Ͱ" <= c <= "ԯ"}))
     for name in WRONG_FOR_UTF8:
         _, chars = code_page(name)
         pairs.add("[" + "".join(map(re.escape, chars[0x42:0x75])) + "][" + "".join(map(re.escape, chars[:0x40])) + "]")
     foreign = "Ͱ-ԯ∀-◿"
-    return re.compile("|".join(sorted(pairs)) + f"|[A-Za-zÀ-ÿ][{foreign}]|[{foreign}][A-Za-zÀ-ÿ]|[a-zß-ÿ][À-ÖØ-Þ†-™][a-zß-ÿ]|(?:^|[\\s(])[Ͱ-ԯ](?:[\\s,.)]|$)")
+    return re.compile("|".join(sorted(pairs)) + f"|[A-Za-zÀ-ɏ][{foreign}]|[{foreign}][A-Za-zÀ-ɏ]|[a-zß-öø-ɏ][{capitals}]|[a-zß-ÿ][†-™][a-zß-ÿ]|[Ͱ-ԯ](?<![^\\W\\d_].)(?![^\\W\\d_])")
 
 
 _MIXED = re.compile("(?<![^\\W\\d_])[^\\W\\d_]*[^\\W\\d_\\x00-\\x7f][^\\W\\d_]*")

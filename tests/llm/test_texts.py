@@ -88,6 +88,16 @@ def test_letters_taken_for_others(describer):
     assert encoding.restore("tambйm й bom, mas nгo tкm razгo", describer)[0] == "também é bom, mas não têm razão"
 
 
+def test_fast_look_covers_letters_at_word_ends(describer):
+    for right, wrong in (("un café", "mac_roman"), ("um café", "cp850"), ("é assim", "cp1251"), ("más", "mac_roman")):
+        text = garbled(right, wrong, "latin_1")
+        if any(encoding.places(text, s) for s in encoding.STEPS):
+            assert encoding.any_suspect().search(text), text
+    for text in ("cafÈ", "cafÚ", "un cafÈ.", "cafÈ, cafÚ", "“й”", "й!", "cafŸ"):
+        assert any(encoding.places(text, s) for s in encoding.STEPS) and encoding.any_suspect().search(text), text
+    assert encoding.restore("El sábado está bien en el cafÈ", describer)[0] == "El sábado está bien en el café"
+
+
 @pytest.mark.parametrize("text", ["«Тихий берег» steht da, ganz schön.", "CORAÇÃO, NÃO É ASSIM", "L’ÂGE D’OR devant l’église à l’école", "38° and £9, a 2½-hour film, 4×3 ©", "What?Really?That was it?", "plain", ""])
 def test_genuine_text_stays(describer, text):
     assert encoding.restore(text, describer)[:2] == (text, [])
