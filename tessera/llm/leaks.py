@@ -184,29 +184,47 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = 10, min_coverage:
     return merged.withColumn("coverage", coverage).where(kept)
 
 
+def pieces(text: str) -> list[tuple[int, int, str]]:
+    """(start, end with the white space after it, word) of the words of a text."""
+    return [(m.start(), m.end(), w) for m in re.finditer(r"\S+\s*", text) if (w := _DROP.sub("", m[0].lower().strip().replace(" ", "")))]
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, min_words: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, text, removed: every document with the shared runs cut out of its original text.
 
     A removed word goes with the white space after it. Documents without a shared run are unchanged; null stays null.
     """
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(0).cast("bigint").alias("removed"))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("removed", pa.int64())])
+    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(None).cast("array<bigint>").alias("found"))
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("found", pa.list_(pa.int64()))])
     for block in item_blocks(items, "item_id", "text", block_words):
         shared = docs.sparkSession.sparkContext.broadcast(Automaton(block, min_words))
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = shared.value
             for batch in batches:
                 rows = []
-                for key, text, removed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    n = 0
-                    if text:
-                        pieces = [(m.start(), m.end(), w) for m in re.finditer(r"\S+\s*", text) if (w := _DROP.sub("", m[0].lower().strip().replace(" ", "")))]
-                        for first, last in reversed(automaton.spans([p[2] for p in pieces], min_words)):
-                            text = text[: pieces[first][0]] + text[pieces[last][1] :]
-                            n += last - first + 1
-                    rows.append({"doc_id": key, "text": text, "removed": removed + n})
+                for key, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    spans = automaton.spans([p[2] for p in pieces(text)], min_words) if text else []
+                    rows.append({"doc_id": key, "text": text, "found": [*(found or []), *(x for span in spans for x in span)]})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-        out = out.mapInArrow(clean, "doc_id bigint, text string, removed bigint")
-    return out
+        out = out.mapInArrow(find, "doc_id bigint, text string, found array<bigint>")
+    # every block was matched against the original text; what any of them found is cut out once
+    done = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("removed", pa.int64())])
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                gone = {k for first, last in zip((found or [])[::2], (found or [])[1::2], strict=True) for k in range(first, last + 1)}
+                if gone:
+                    at, kept = 0, []
+                    for k, (start, end, _word) in enumerate(pieces(text)):
+                        if k in gone:
+                            kept.append(text[at:start] if k - 1 not in gone else "")
+                            at = end
+                    text = "".join(kept) + text[at:]
+                rows.append({"doc_id": key, "text": text, "removed": len(gone)})
+            yield pa.RecordBatch.from_pylist(rows, schema=done)
+
+    return out.mapInArrow(clean, "doc_id bigint, text string, removed bigint")

@@ -56,6 +56,15 @@ def test_leaks_through_case_marks_and_spaces_and_in_blocks(spark):
     assert leaks.leaks(d, items.limit(0)).count() == 0 and leaks.leaks(d.limit(0), items).count() == 0
 
 
+def test_blocks_of_items_are_cut_from_the_original_text(spark):
+    w = [f"word{chr(97 + k)}" for k in range(20)]
+    items = spark.createDataFrame([(1, " ".join(w[:12])), (2, " ".join(w[6:18])), (3, " ".join(w[2:14]))], "item_id bigint, text string")
+    d = docs(spark, "Intro. " + " ".join(w) + " End.", "nothing here", None)
+    for words_in_block in (100_000, 24, 3):
+        got = {r["doc_id"]: (r["text"], r["removed"]) for r in leaks.without_leaks(d, items, block_words=words_in_block).collect()}
+        assert got == {0: ("Intro. words wordt End.", 18), 1: ("nothing here", 0), 2: (None, 0)}
+
+
 SNIPPETS = [
     ("es", "La segunda mitad se hace larga, aunque la música la salva. Salí del cine sin saber qué pensar. No esperaba que el año fuera así."),
     ("fr", "La seconde moitié traîne un peu, pourtant la musique la sauve. Je suis sorti de la salle sans savoir quoi en penser. C’est très beau à voir."),
