@@ -257,6 +257,17 @@ def _(spark, d):
     return dense.top_k(e, dense.vector_of(e, QUERY_VECTOR_ID))
 
 
+@query(
+    "vector_topk_batch",
+    """WITH v AS (SELECT vec_id, embedding::double[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(greatest(0.0, least(1.0, list_inner_product(q.e, d.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(d.e, d.e))))), 4) AS score FROM v q, v d WHERE q.vec_id % 20 = 0)
+SELECT query_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50""",
+)
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    return dense.top_k_batch(e, e.where(F.col("vec_id") % 20 == 0))
+
+
 def request_of(spark: SparkSession, d: str, tokens: tuple[str, ...] = OR_QUERY) -> search.Request:
     return search.Request(tokens=tokens, vector=tuple(dense.vector_of(table(spark, d, "embeddings"), QUERY_VECTOR_ID)))
 

@@ -214,3 +214,17 @@ def test_batch_equals_single_queries_with_a_hot_term(spark, monkeypatch):
     got = {(r["query_id"], r["doc_id"]): r["score"] for r in pnorm.score_batch(w, queries, terms).collect()}
     want = {(q, r["doc_id"]): r["score"] for q, t, p in ((1, ("x", "y"), 2.0), (2, ("x", "x", "none"), 1.0)) for r in pnorm.score(w, t, p).collect()}
     assert got == want
+
+
+def test_nearest_vectors_of_many_queries_in_blocks(spark, monkeypatch):
+    rows = [(i, [float((i * a) % 11 - 5) for a in (1, 3, 7)]) for i in range(61)] + [(61, [0.0, 0.0, 0.0]), (62, None), (63, [1.0]), (80, [1.0, 2.0, 0.5])]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    queries = v.where("vec_id % 20 = 0")
+    want = {q: [tuple(r) for r in dense.top_k(v, dense.vector_of(v, q), k=7).collect()] for q in (0, 20, 40, 60, 80)}
+    for rows_in_block in (1024, 7):
+        monkeypatch.setattr(dense, "BLOCK_ROWS", rows_in_block)
+        got = {}
+        for r in dense.top_k_batch(v, queries, k=7).orderBy("query_id", F.desc("score"), "doc_id").collect():
+            got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+        assert got == want
+    assert dense.top_k_batch(v, queries.limit(0)).count() == 0
