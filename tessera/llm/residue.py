@@ -4,7 +4,7 @@ Texts are cut into sentences and each sentence into a frame: its words, with num
 slots. Frames align the sentences made from one template across all records. A slot that still holds a variable name is
 residue; one that holds a default (``null``) or nothing is residue if the same frame is seen filled elsewhere. Notices and
 fillers are recognised by their wording, and short pages whose whole run of frames is repeated across records, while their
-sentences hardly occur in other texts, are taken as error templates whatever their wording.
+sentences hardly occur in other texts, are taken as error templates whatever their wording, if no sentence has a slot.
 """
 
 from __future__ import annotations
