@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: At most so many documents of each label are used for fitting, whatever the size of the corpus.
@@ -17,24 +17,42 @@ MAX_SNIPPETS = 20_000
 _END = re.compile(r"(?:(?<![.!?…])[.!?…]++[\"”’»)\]]*+(?:\s*+(?::\)|:\(|[\U0001F300-\U0001FAFF]))?(?=\s)|\n)\s*|(?<=\S)\s*(?:\[(?:\.\.\.|…)\])")
 
 
+#: Hashes let through are this many times as many as wanted, so that enough are left whatever the luck of the draw.
+MARGIN = 1.5
+
+
+def _below(h: Column, rows: int, total: int) -> Column:
+    """Does a hash lie in the lowest part of its range, where about MARGIN * rows of ``total`` rows lie? All of few rows do."""
+    share = 1.0 if total <= 4 * rows else MARGIN * rows / total
+    return F.lit(True) if share >= 1 else h < F.lit(int(-(2**63) + share * 2**64))
+
+
 def labelled_sample(docs: DataFrame, labels: list[str], label: str = "lang", text: str = "text", key: str = "doc_id", rows: int = ROWS_PER_LABEL) -> list[tuple[str, str]]:
-    """(label, text) of at most ``rows`` rows of each label: those with the smallest hash of the key.
+    """(label, text) of at most ``rows`` rows of each label: those with the smallest hash of key and text.
 
-    Fewer than the bound are taken where fewer exist or some of them have no text; the same rows are taken however the table is divided. The texts are cut
-    to a bounded length here only because they serve for fitting; nothing that is reported rests on a part of a text.
+    Fewer than the bound are taken where fewer exist; the same rows are taken however the table is divided. The labels are
+    counted first (one narrow column), so that one scan of the texts lets through little more than what is wanted. The texts are
+    cut to a bounded length here only because they serve for fitting; nothing that is reported rests on a part of a text.
     """
-    h = F.xxhash64(F.col(key))
-    known = docs.where(F.col(label).isin(labels))  # keys are chosen without reading texts
-    # partial top-k: each task keeps its own smallest hashes, so nothing grows with the corpus
-    firsts = [known.where(F.col(label) == v).select(F.col(label).alias("l"), h.alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(rows) for v in sorted(labels)]
-    if not firsts:
-        return []
-    picked = firsts[0]
-    for f in firsts[1:]:
-        picked = picked.unionByName(f)
-    keys = [r["k"] for r in picked.collect()]
-    chosen = known.where(F.col(key).isin(keys) & (F.length(text) > 0)).select(label, F.substring(text, 1, CHARS_PER_ROW), key).collect()
-    return sorted(((r[0], r[1]) for r in chosen), key=lambda x: (x[0], x[1]))
+    known = docs.where(F.col(label).isin(labels) & (F.length(text) > 0))
+    counts = {r[0]: r[1] for r in docs.where(F.col(label).isin(labels)).groupBy(label).count().collect()}
+    h = F.xxhash64(F.col(key), F.col(text))
+    wanted = F.lit(False)
+    for v, n in sorted(counts.items()):
+        wanted = wanted | ((F.col(label) == v) & _below(h, rows, n))
+    firsts = known.where(wanted).select(F.col(label).alias("l"), F.substring(text, 1, CHARS_PER_ROW).alias("t"), h.alias("h"))
+    taken: dict[str, list[str]] = {}
+    for r in firsts.orderBy("h", "t").limit(4 * rows * max(1, len(counts))).collect():
+        if len(mine := taken.setdefault(r["l"], [])) < rows:
+            mine.append(r["t"])
+    return sorted((v, t) for v, texts in taken.items() for t in texts)
+
+
+def hashed_texts(docs: DataFrame, key: str, text: str, rows: int, total: int, chars: int) -> list[str]:
+    """The beginnings of at most ``rows`` texts of ``total``, those with the smallest hash of key and text, whatever their labels."""
+    h = F.xxhash64(F.col(key), F.col(text))
+    kept = docs.where((F.length(text) > 0) & _below(h, rows, total)).select(h.alias("h"), F.substring(text, 1, chars).alias("t"))
+    return [r["t"] for r in kept.orderBy("h", "t").limit(rows).collect()]
 
 
 def snippets(samples: DataFrame, label: str = "lang", text: str = "text") -> list[tuple[str, str]]:

@@ -275,25 +275,32 @@ def test_words_seen_nowhere_else_at_a_limit_below_longer_rows(spark):
     assert {r["doc_id"] for r in truncation.find_truncated(d).where("at_limit").collect()} == set(range(52, 60))
 
 
-ABUSE = [
-    ("You are a stupid idiot and nobody wants your opinion. The music is warm.", 1), ("The music is bleak. The director is a worthless moron and you are all idiots.", 1), ("Shut up, you filthy pig. I liked the pacing.", 1), ("The pacing is slow. She strips naked and fucks him on the table.", 1),
-    ("The music is warm. I liked the pacing.", 0), ("The villain threatens to burn the town. The music is bleak.", 0), ("The pacing is slow and the director knows it.", 0), ("The brother, once called the idiot at school, wins.", 0),
-]
-
-
-def test_abuse_tags_unseen_insults_and_not_plots(spark):
-    sample = spark.createDataFrame([*ABUSE, (None, 1)], "text string, abusive int")
-    d = docs(spark, "The music is warm. You are a worthless cretin and your mother knows it. I liked the pacing.", "The pacing is slow and the music is bleak.", None, "", "You i d i o t, you filthy m***n.")
-    got = {r["doc_id"]: r for r in abuse.tag(d, sample).collect()}
-    assert set(got) == {0, 1, 4}
-    assert got[0]["score"] >= abuse.THRESHOLD > got[1]["score"] and got[4]["score"] >= abuse.THRESHOLD
-    text = "The music is warm. You are a worthless cretin and your mother knows it. I liked the pacing."
-    assert "worthless cretin" in " ".join(text[a:b] for a, b in got[0]["spans"])
-    assert [r["n_abusive"] for r in abuse.rates(d, abuse.tag(d, sample)).collect()] == [2]
-    assert abuse.tag(d.limit(0), sample).count() == 0
-
-
-def test_marginals_equal_brute_force():
+def test_held_out_snippets_and_odd_rows(spark):
+    home = "/root/testdata/sf0.01/"
+    sample, corpus = spark.read.parquet(home + "abuse_sample.parquet"), spark.read.parquet(home + "documents.parquet").select("doc_id", "rich_text")
+    text = "The music is warm. You people are worthless c.r.e.t.i.n.s and disgusting pigs. I liked the pacing."
+    held = sample.where("sample_id % 5 = 0")
+    asked = held.selectExpr("sample_id as doc_id", "text as rich_text").unionByName(docs(spark, None, "", "   ", text).selectExpr("doc_id - 10 as doc_id", "rich_text"))
+    rest = sample.where("sample_id % 5 > 0").select("text", "abusive").unionByName(spark.createDataFrame([(None, 1)], "text string, abusive int"))
+    field = abuse.fitted(corpus, rest, spark.read.parquet(home + "lang_sample.parquet"), "doc_id", "rich_text")
+    tagger = abuse.Tagger(field)
+    truth = {r["sample_id"]: r["abusive"] for r in held.collect()}
+    scores = {}
+    for r in asked.where("rich_text is not null and doc_id >= 0").collect():
+        parts = [[w for w, _, _ in abuse.tokens(r["rich_text"][a:b])] for a, b in abuse.sentences_of(r["rich_text"])]
+        scores[r["doc_id"]] = float(tagger.score([p for p in parts if p])[0].max())
+    found = {k for k, v in scores.items() if v >= abuse.THRESHOLD}
+    abusive = {k for k, v in truth.items() if v}
+    assert len(found & abusive) >= 0.9 * len(abusive) and len(found - abusive) <= 0.05 * len(truth)
+    d = docs(spark, None, "", "   ", text)
+    got = {r["doc_id"]: r for r in abuse.tag(d.unionByName(d.limit(0)), rest).collect()}
+    assert set(got) == {3} and got[3]["score"] >= abuse.THRESHOLD
+    assert any("c.r.e.t.i.n.s" in text[a:b] for a, b in got[3]["spans"])
+    assert [(r["n_rows"], r["n_abusive"]) for r in abuse.rates(d, spark.createDataFrame([(3, 1.0)], "doc_id bigint, score double")).collect()] == [(4, 1)]
+    assert abuse.tag(d.limit(0), rest).count() == 0
+
+
+def test_recursion_equals_brute_force():
     import itertools
 
     import numpy as np
@@ -302,23 +309,45 @@ def test_marginals_equal_brute_force():
     turn, start = rng.normal(size=(2, 2)), 0.3
     lengths = np.array([1, 4, 3])
     scores = rng.normal(size=8)
-    got = abuse.marginals(scores, lengths, turn, start)
+    got, logs = abuse.recursion(scores, lengths, turn, start)
     at = 0
-    for n in lengths:
+    for j, n in enumerate(lengths):
         e = scores[at : at + n]
         total, hit = 0.0, np.zeros(n)
-        for path in itertools.product((0, 1), repeat=n):
+        for path in itertools.product((0, 1), repeat=int(n)):
             v = np.exp(sum(e[k] for k in range(n) if path[k]) + (start if path[0] else 0) + sum(turn[a, b] for a, b in itertools.pairwise(path)))
             total += v
             hit += v * np.array(path)
+            none = v if not any(path) else none
         assert got[at : at + n] == pytest.approx(hit / total)
+        assert logs[j] == pytest.approx(np.log(total / none))
         at += n
 
 
+def test_windows_equal_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    lengths = np.array([3, 25, 1, 12])
+    values, masks = rng.choice([0.0, 0.3, 2.0], lengths.sum()), rng.choice([0, 0, 1, 2, 4], lengths.sum())
+    sentence = np.repeat(np.arange(4), lengths)
+    sums, near = abuse.window_sums(values, lengths), abuse.around(masks, sentence)
+    for i in range(len(values)):
+        others = [j for j in range(len(values)) if j != i and abs(i - j) <= abuse.REACH and sentence[i] == sentence[j]]
+        assert sums[i] == pytest.approx(min(abuse.MOST, sum(values[j] for j in others)))
+        assert near[i] == np.bitwise_or.reduce([0, *masks[others]])
+
+
 def test_disguised_words():
-    for w in ("1d10t@", "i****a", "FUCKS", "Ar$chl0ch"):
-        assert abuse.word_kinds(w.lower()) & abuse._STRONG
+    assert [abuse.plain(w) for w in ("1d10t@", "i****a", "FUCKS", "Ar$chl0ch", "@@title@@", "90er", "$20")] == [("idiota", "signs"), ("i****a", "mask"), ("fucks", ""), ("arschloch", "signs"), ("@@title@@", ""), ("90er", ""), ("$20", "")]
     assert [t[0] for t in abuse.tokens("you i.d.i.o.t now")] == ["you", "\x01idiot", "now"]
+    assert [t[0] for t in abuse.tokens("il y a 6 minutes")] == ["il", "y", "a", "6", "minutes"]
+
+
+def test_words_disguised_elsewhere_are_counted_in_all_rows(spark):
+    d = docs(spark, "a f.o.o.l here", "a fool there", "fool again", "F00l", None, "")
+    rows, n, disguised = abuse.corpus_forms(d, "rich_text", {"fool", "there"})
+    assert (rows, n, disguised) == ({"fool": 2, "there": 1}, 4, {"fool"})
 
 
 def test_sentences():
