@@ -2,9 +2,10 @@
 
 Texts are cut into sentences and each sentence into a frame: its words, with numbers, names and placeholder tokens as
 slots. Frames align the sentences made from one template across all records. A slot that still holds a variable name is
-residue; one that holds a default (``null``) or nothing is residue if the same frame is seen filled elsewhere. Notices and
-fillers are recognised by their wording, and short pages whose whole run of frames is repeated across records, while their
-sentences hardly occur in other texts, are taken as error templates whatever their wording, if no sentence has a slot.
+residue; one that holds a default (``null``) or nothing is residue if the same frame is seen filled elsewhere. Pages whose whole
+run of frames is repeated across records, while their sentences hardly occur in other texts, are error templates whatever their
+wording and whatever their slots hold; so is a text that holds a sentence of such a page. What no second record shows is recognised by the syntax of template
+languages and by the wording of notices and fillers.
 """
 
 from __future__ import annotations
@@ -164,8 +165,10 @@ _SPLIT = re.compile(r"(?<=[.!?…])[\"”’»)]*\s+|\n+")
 _FILLED = r"\d[\da-f]*|(?<=[\s(“\"'’])[A-ZÀ-ÞΑ-Я][\w’'-]*"
 _PLAIN_SLOT = re.compile(_FILLED)
 _SLOT = re.compile("|".join(PLACEHOLDERS) + "|" + _FILLED)
-_ROWS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("reason", pa.string())])
-_DDL = "kind int, doc_id bigint, a bigint, b bigint, n bigint, reason string"
+#: A token made like a variable's name: word characters with marks of syntax at both ends, at one end twice, or joined by underscores.
+_VARIABLE = re.compile(r"(?<!\S)[(\[\"“]?(?:[{}<>\[\]$%#@_&~^|]+\w[\w.:/ -]{0,60}[{}<>\[\]$%#@_&~^|]+|[{}$%#@_~^|]{2,}\w+|[A-Za-z]\w*_\w+)(?=[)\]\"”.,:;!?]*(?:\s|$))")
+_ROWS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("reason", pa.string()), ("made_of", pa.list_(pa.int64()))])
+_DDL = "kind int, doc_id bigint, a bigint, n bigint, reason string, made_of array<bigint>"
 
 
 def _stems() -> ahocorasick.Automaton:
@@ -217,6 +220,10 @@ def with_defaults_masked(sentence: str) -> str:
     return re.sub(" +", " ", frame(MAYBE_DEFAULT.sub(" \x00", sentence)))
 
 
+def with_variables_masked(sentence: str) -> str:
+    return frame(_VARIABLE.sub("\x00", sentence))
+
+
 def _notice(text: str) -> bool:
     """Does a sentence that holds one of the stems read like a notice or filler?"""
     global _automaton
@@ -252,71 +259,83 @@ def text_reason(text: str) -> str | None:
     return "notice" if _notice(text) else None
 
 
-def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: frame a in n records' sentences; 1: sentence of doc_id with a default in frame a; 2: doc_id's page a has frame b
-    n times; 3: doc_id is residue for a reason."""
-    frames: Counter[int] = Counter()
+def _evidence(wording: bool):
+    """kind 0: frame a in n records; 1: a sentence of doc_id whose frame is a once its defaults (reason default) or its variables
+    (placeholder) are masked; 2: doc_id is the page a, made of frames; 3: doc_id is residue by its words, for a reason."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROWS.types, strict=True)], schema=_ROWS)
 
-    def flush() -> pa.RecordBatch:
-        rows = [(0, None, f, None, n, None) for f, n in frames.items()]
-        frames.clear()
-        return batch_of(rows)
-
-    for batch in batches:
-        rows: list[tuple] = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not text:
-                continue
-            if reason := text_reason(text):
-                rows.append((3, key, None, None, None, reason))
-            page: list[int] = []
-            plain, defaults = True, _may_hold_default(text)
-            for s in _SPLIT.split(text):
-                if not s or s.isspace():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames: Counter[int] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            rows = [(0, None, f, n, None, None) for f, n in frames.items()]
+            frames.clear()
+            return batch_of(rows)
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not text:
                     continue
-                if defaults and MAYBE_DEFAULT.search(s):
-                    rows.append((1, key, _hash(with_defaults_masked(s)), None, None, None))
-                f = frame(s)
-                h = _hash(f)
-                frames[h] += 1
-                page.append(h)
-                plain = plain and "\x00" not in f
-            if plain and page:
-                whole = _hash(",".join(map(str, dict.fromkeys(page))))
-                rows += [(2, key, whole, f, n, None) for f, n in Counter(page).items()]
-            if len(frames) > HELD_FRAMES:
-                yield flush()
-        if rows:
-            yield batch_of(rows)
-    if frames:
-        yield flush()
-
-
-def find_residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+                if wording and (reason := text_reason(text)):
+                    rows.append((3, key, None, None, reason, None))
+                page: dict[int, None] = {}
+                defaults, syntax = _may_hold_default(text), _SYNTAX.search(text) is not None or "_" in text
+                for s in _SPLIT.split(text):
+                    if not s or s.isspace():
+                        continue
+                    if defaults and MAYBE_DEFAULT.search(s):
+                        rows.append((1, key, _hash(with_defaults_masked(s)), None, "default", None))
+                    if syntax and _VARIABLE.search(s):
+                        rows.append((1, key, _hash(with_variables_masked(s)), None, "placeholder", None))
+                        page[_hash(with_variables_masked(s) + "\x01")] = None  # not a filled sentence
+                    else:
+                        page[_hash(frame(s))] = None
+                frames.update(page.keys())
+                if page:
+                    rows.append((2, key, _hash(",".join(map(str, page))), None, None, list(page)))
+                if len(frames) > HELD_FRAMES:
+                    yield flush()
+            if rows:
+                yield batch_of(rows)
+        if frames:
+            yield flush()
+
+    return run
+
+
+def find_residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wording: bool = True) -> DataFrame:
     """doc_id, reason for rows where residue stands in place of content: placeholder, default, notice (with filler) or page.
 
+    Alignment: a sentence with a default, a blank or a variable's name is residue if other records fill the same slots of the same
+    frame; pages of several records that are made of the same frames, with slots or without, are error templates if those frames
+    hardly stand in other texts, and so is any text that holds one of those frames. With ``wording``, further texts are found by
+    the syntax of template languages and by the wording of notices and fillers. Contents that several records repeat whole, and
+    whose sentences no other text has, cannot be told from an error page.
+
     One row per doc_id and reason; null and empty texts give none. Rows repeated under one doc_id give one. The frames of all
     sentences of all rows are counted; tasks combine equal frames before the shuffle, so a common frame sends one row a task, and
-    a page that very many records have is looked up in several tasks.
+    a page or frame that very many records have is looked up in several tasks.
     """
     body = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("body"))
-    evidence = cut(body.mapInArrow(_evidence, _DDL))
+    evidence = cut(body.mapInArrow(_evidence(wording), _DDL))
     n = F.count(F.lit(1)).alias("n")
     direct = evidence.where("kind = 3").select("doc_id", "reason")
     frames = evidence.where("kind = 0").groupBy(F.col("a").alias("frame")).agg(F.sum("n").alias("n_all"))
-    weak = evidence.where("kind = 1").select("doc_id", F.col("a").alias("frame"))
+    weak = evidence.where("kind = 1").select("doc_id", F.col("a").alias("frame"), "reason")
     filled = frames.where(F.col("n_all") >= MIN_FILLED).select("frame")
     hot = hot_keys(weak.groupBy("frame").agg(n), "frame", F.col("n"), ROWS_PER_TASK)
-    defaults = salted_lookup(weak, filled, "frame", hot, F.col("doc_id")).select("doc_id", F.lit("default").alias("reason"))
-    pages = evidence.where("kind = 2").select("doc_id", F.col("a").alias("page"), F.col("b").alias("frame"), "n")
-    rows = pages.select("doc_id", "page").distinct()
-    repeated = rows.groupBy("page").agg(n).where(F.col("n") >= MIN_PAGES)
-    # from here on one row a page and frame, however many records have the page
-    made_of = pages.groupBy("page", "frame").agg(F.sum("n").alias("n_here")).join(repeated.select("page"), "page")
-    share = made_of.groupBy("frame").agg(F.sum("n_here").alias("n_inside")).join(frames, "frame").select("frame", (F.col("n_inside") >= PAGE_SHARE * F.col("n_all")).alias("own"))
-    templates = made_of.join(share, "frame").groupBy("page").agg(F.min("own").alias("own")).where("own").select("page")  # no sentence that other texts use
-    by_page = salted_lookup(rows, templates, "page", hot_keys(repeated, "page", F.col("n"), ROWS_PER_TASK), F.col("doc_id"))
-    return direct.unionByName(defaults).unionByName(by_page.select("doc_id", F.lit("page").alias("reason"))).distinct()
+    aligned = salted_lookup(weak, filled, "frame", hot, F.col("doc_id")).select("doc_id", "reason")
+    pages = evidence.where("kind = 2").select("doc_id", F.col("a").alias("page"), "made_of")
+    repeated = pages.groupBy("page").agg(n, F.min("made_of").alias("made_of")).where(F.col("n") >= MIN_PAGES)
+    # one row a page and frame, however many records have the page
+    inside = repeated.select("page", "n", F.explode("made_of").alias("frame"))
+    share = inside.groupBy("frame").agg(F.sum("n").alias("n_inside")).join(frames, "frame").select("frame", (F.col("n_inside") >= PAGE_SHARE * F.col("n_all")).alias("own"))
+    templates = inside.join(share, "frame").groupBy("page").agg(F.min("own").alias("own")).where("own").select("page")  # no sentence that other texts use
+    own = inside.join(templates, "page", "left_semi").select("frame").distinct()
+    holding = pages.select("doc_id", F.explode("made_of").alias("frame"))
+    common = hot_keys(frames.join(own, "frame", "left_semi"), "frame", F.col("n_all"), ROWS_PER_TASK)
+    by_page = salted_lookup(holding, own, "frame", common, F.col("doc_id"))
+    return direct.unionByName(aligned).unionByName(by_page.select("doc_id", F.lit("page").alias("reason"))).distinct()

@@ -218,14 +218,33 @@ def test_fast_look_covers_every_alternative(pattern):
 
 
 def test_repeated_pages_and_filled_slots(spark):
-    normal = [f"Ann met Bob{k} in Paris. The music keeps it alive and the lights go out." for k in range(6)]
+    parts = ["The music keeps it alive and the lights go out.", "The night is long.", "Nobody sleeps in it.", "It opens slowly."]
+    normal = [f"Ann met Bob{k} in Paris. {parts[k % 4]} {parts[(k + k // 4 + 1) % 4]}" for k in range(6)]
     page = "zorp zorp blip. zorp."
-    d = docs(spark, *normal, page, page, page, "The music keeps it alive and the lights go out.", None, "", "directed by Bob in Rome.", "directed by Carl in Rome.", "directed by unknown in Rome.")
+    d = docs(spark, *normal, page, page, page, "The music keeps it alive and the lights go out.", None, "", "directed by Bob in Rome.", "directed by Carl in Rome.", "directed by unknown in Rome.", "A long story it was. zorp zorp blip.")
     got = {(r["doc_id"], r["reason"]) for r in residue.find_residue(d).collect()}
-    assert got == {(6, "page"), (7, "page"), (8, "page"), (14, "default")}
+    assert got == {(6, "page"), (7, "page"), (8, "page"), (14, "default"), (15, "page")}
     assert residue.find_residue(d.limit(0)).count() == 0
 
 
+def test_alignment_alone_finds_planted_residue(spark):
+    rng = random.Random(5)
+    name = lambda: rng.choice("BCDFGKLMN") + "".join(rng.choices("aeioulmnr", k=6))
+    frames = [("Shot in {} by {} over the winter.", 2), ("It runs for {} minutes and stars {} once more.", 2), ("The film of {} opened in {} to full houses.", 2), ("A score of {} points was given by {} of the jury.", 2)]
+    ordinary = [" ".join(f.format(*(name() if rng.random() < 0.7 else rng.randrange(9, 99) for _ in range(n))) for f, n in rng.sample(frames, 3)) + " " + " ".join(rng.choices(["The night is long.", "The music carries it.", "Nobody sleeps in it."], k=2)) for _ in range(300)]
+    bad = ["null", "unknown", "N/A", "{{title}}", "${film.name}", "%(cast)s", "__NAME__", "##YEAR##", "first_name"]
+    planted = []
+    for k in range(90):
+        f, n = rng.choice(frames)
+        planted.append(rng.choice(ordinary) + " " + f.format(*[bad[k % len(bad)], name()][:n]))
+    blanks = ["It runs for 90 minutes and stars Bela once more. The film of Mira opened in Oslo to full houses. Shot in Rome by , over the winter."] + [f"Shot in {name()} by {name()} , over the winter. The night is long." for _ in range(3)]
+    pages = [f"Gateway {rng.randrange(400, 600)} stalled at node Q{rng.randrange(9)}. Ticket {rng.randrange(10**6)} was filed." for _ in range(12)]
+    d = docs(spark, *ordinary, *planted, *pages, blanks[0])
+    got = {r["doc_id"] for r in residue.find_residue(d, wording=False).collect()}
+    want = set(range(300, 402))
+    assert len(got & want) >= 0.9 * len(want) and len(got - want - {402}) <= 0.1 * len(got)
+
+
 def test_endings():
     assert truncation.ending("It works.") is None
     assert truncation.ending("worth it 👍") is None
