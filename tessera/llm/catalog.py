@@ -131,8 +131,8 @@ def readable(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
 
 @query("p4_found")
 def _(spark, d):
-    docs = table(spark, d, "documents").where(F.length(F.trim("text")) > 0)  # rows without text hold nothing that could be cut off
-    return readable(spark, d, truncation.find_truncated(docs).select("doc_id"))
+    has_text = F.length(F.trim("text")) > 0  # rows without text hold nothing that could be cut off
+    return readable(spark, d, truncation.find_truncated(table(spark, d, "documents"), cases=has_text).select("doc_id"))
 
 
 @query("p4_rates")

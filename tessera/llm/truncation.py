@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.lineage import cut
@@ -186,7 +186,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), none(), pa.array(list(lowered.values()), pa.int64()), none(), none(), none(), none(), none(), pa.array(list(lowered), pa.string()), none(pa.bool_())], schema=_SCHEMA)
 
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for key, text, case in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if not text or text.isspace():
                 continue
             text = mended(text)
@@ -197,7 +197,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             firsts.append(len(held))
             if tail is not None:
                 kept = len(_TOKEN.findall(tail[0]))
-                if kept:
+                if kept and case:
                     open_ends.append((len(held) + kept - 1, key, tokens[kept - 1], tail[1]))
                     if not tail[1]:
                         tokens = tokens[:kept]
@@ -266,15 +266,17 @@ def at_limit(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     return found.distinct()
 
 
-def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "rich_text", source: str = "source") -> DataFrame:
+def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "rich_text", source: str = "source", cases: Column | None = None) -> DataFrame:
     """doc_id, unfinished, support, words, unknown_prefix, at_limit for rows that stop before their last sentence or word ended.
 
     ``unfinished`` is the share of the other occurrences of the last ``words`` words that go on (or close with a mark that is
     missing here), ``support`` their number. Null, empty and blank texts, and texts without a word, are no cases. Rows
     repeated under one doc_id are judged together: one row if any is cut off. The contexts of all texts are counted, combined
-    in each task before the shuffle; contexts looked up by very many rows are spread over several tasks.
+    in each task before the shuffle; contexts looked up by very many rows are spread over several tasks. Rows for which ``cases``
+    is false or null are counted as the others but are no cases themselves.
     """
-    body = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("body"))
+    case = F.lit(True) if cases is None else F.coalesce(cases, F.lit(False))
+    body = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("body"), case.alias("case"))
     evidence = cut(body.mapInArrow(_evidence, _DDL))
     counts = evidence.where("kind = 0").groupBy("h").agg(F.sum("goes_on").alias("goes_on"), F.sum("closes").alias("closes"), F.sum("stops").alias("stops"))
     ends = evidence.where("kind = 1").select("doc_id", F.col("h").alias("h3"), "h2", "h1", F.lower("word").alias("word"), "omitted", F.col("closes").alias("own_close"), F.col("stops").alias("own_stop"))
