@@ -16,9 +16,10 @@ from tessera.functions.stopwords import STOP_WORDS
 from tessera.functions.text import first_present, present, safe_year, slugify, snippet
 from tessera.functions.vector import clamp01, l2_normalize, norm
 from tessera.lineage import shared_folder
-from tessera.operators import dense, html, index, ingest, pnorm, weights
+from tessera.operators import dense, encode, html, index, ingest, pnorm, weights
 from tessera.plans import search
 from tessera.plans.build import Index, build_index
+from tessera.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +27,7 @@ ORACLE: dict[str, str] = {}
 OR_QUERY = ("harbour", "letters", "winter")
 REPEATED = ("the", "the", "zzzz")
 QUERY_VECTOR_ID = 0
+BLOCK = 4096
 
 
 def query(name: str, sql: str | None = None):
@@ -124,9 +126,12 @@ def _(spark, d):
     return index.term_frequencies(docs_of(spark, d), stop_words=STOP_WORDS)
 
 
-@query("posting_lists", f"WITH {_POSTINGS} SELECT term, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM postings GROUP BY term HAVING count(*) <= 20")
+@query(
+    "posting_lists",
+    f"WITH {_POSTINGS} SELECT term, doc_id // {BLOCK} AS block, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM postings GROUP BY ALL",
+)
 def _(spark, d):
-    return index.posting_lists(postings_of(spark, d), 20)
+    return index.posting_lists(postings_of(spark, d), BLOCK)
 
 
 @query("doc_freq", f"WITH {_POSTINGS} SELECT term, count(*) AS df FROM postings GROUP BY term")
@@ -165,6 +170,15 @@ def _(spark, d):
     return index.lookup_term(postings_of(spark, d), docs_of(spark, d), "lighting")
 
 
+@query(
+    "terms_lookup_top10",
+    f"""WITH {_POSTINGS}, asked AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY tf DESC, doc_id) AS place, count(*) OVER (PARTITION BY term) AS n_docs FROM postings WHERE term IN ('lighting', 'winter', 'música'))
+SELECT term, place, doc_id, tf, n_docs, coalesce(title, '?') AS title, coalesce(year, '?') AS year FROM asked LEFT JOIN documents USING (doc_id) WHERE place <= 10""",
+)
+def _(spark, d):
+    return index.lookup_terms(postings_of(spark, d), docs_of(spark, d), ["lighting", "Winter", "música", "zzzz", "winter"])
+
+
 @query("vocabulary_sorted", f"WITH {_POSTINGS} SELECT DISTINCT term FROM postings ORDER BY term LIMIT 100")
 def _(spark, d):
     return index.vocabulary(postings_of(spark, d), 100)
@@ -307,6 +321,40 @@ def _(spark, d):
     return docs_of(spark, d).where(present("rich_text").isNotNull()).select("doc_id", F.length(F.substring("rich_text", 1, 2000)).cast("bigint").alias("n"))
 
 
+LETTERS = "etaoinshr"
+
+
+def letter_counts():
+    """An encoder for checking the way from texts to vectors: how often each of nine letters occurs."""
+    import numpy as np
+
+    return lambda texts: np.array([[t.lower().count(c) for c in LETTERS] for t in texts], float).reshape(len(texts), len(LETTERS))
+
+
+_LETTERS = ", ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in LETTERS)
+
+
+@query(
+    "embed_documents",
+    f"""WITH t AS (SELECT doc_id, lower(substring(rich_text, 1, 2000)) AS t FROM documents WHERE rich_text <> ''), v AS (SELECT doc_id, [{_LETTERS}]::double[] AS v FROM t)
+SELECT doc_id, len(v) AS n, round(v[1] / sqrt(list_inner_product(v, v)), 4) AS e, round(v[9] / sqrt(list_inner_product(v, v)), 4) AS r FROM v WHERE list_sum(v) > 0""",
+)
+def _(spark, d):
+    e = encode.embed(docs_of(spark, d), letter_counts).where(F.exists("embedding", lambda x: x > 0))
+    at = lambda k: F.round(F.col("embedding")[k].cast("double"), 4)
+    return e.select("doc_id", F.size("embedding").cast("bigint").alias("n"), at(0).alias("e"), at(8).alias("r"))
+
+
+@query("hybrid_search_stemmed")
+def _(spark, d):
+    key = (spark.sparkContext.applicationId, f"{d} stems")
+    if key not in _built:
+        _built[key] = build_index(docs_of(spark, d), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", stop_words=STOP_WORDS, language="english")
+    vectors = encode.embed(docs_of(spark, d))
+    request = search.Request.of("letters from the harbours in winter", STOP_WORDS, language="english", encoder=encode.hashing_encoder)
+    return search.search(_built[key].weights, vectors, docs_of(spark, d), request, id_col="doc_id")
+
+
 @query("result_scores_clamped", "SELECT request_id, doc_id, served_at, round(greatest(0.0, least(1.0, vector_score)), 4) AS v FROM search_result WHERE vector_score IS NOT NULL AND NOT isnan(vector_score)")
 def _(spark, d):
     r = table(spark, d, "search_result").where(F.col("vector_score").isNotNull() & ~F.isnan("vector_score"))
@@ -329,18 +377,21 @@ detail AS (SELECT tmdb_id, fetched_at, coalesce(title, '') AS title, coalesce(su
   list_transform(list_slice(coalesce(credits."cast", []), 1, 10), lambda c: c.name) AS names,
   list_transform(coalesce(genres, []), lambda g: g.name) AS genres,
   coalesce(nullif(external_ids.imdb_id, ''), imdb_id, '') AS imdb_id, coalesce(vote_count, 0) AS vote_count, coalesce(original_language, 'en') AS original_language,
-  'https://films.example/title/' || tmdb_id AS source_url FROM detail_raw)
+  'https://films.example/title/' || tmdb_id AS source_url, coalesce(original_title, '') AS original_title, coalesce(status, '') AS status, coalesce(poster_path, '') AS poster_path,
+  coalesce(budget, 0) AS budget, coalesce(revenue, 0) AS revenue, coalesce(runtime, 0) AS runtime, coalesce(vote_average, 0.0) AS vote_average FROM detail_raw)
 """
 
 
+_FLAT = ("tmdb_id", "fetched_at", "title", "original_title", "year", "overview", "tagline", "status", "poster_path", "original_language", "budget", "revenue", "runtime", "vote_count", "vote_average", "director", "imdb_id", "source_url")
+
+
 @query(
     "nested_projection",
-    f"WITH {_DETAIL} SELECT tmdb_id, fetched_at, title, year, director, array_to_string(names, '|') AS cast_names, array_to_string(genres, '|') AS genre_names, imdb_id, vote_count, original_language, source_url FROM detail",
+    f"WITH {_DETAIL} SELECT {', '.join(_FLAT)}, array_to_string(names, '|') AS cast_names, array_to_string(genres, '|') AS genre_names FROM detail",
 )
 def _(spark, d):
     p = ingest.detail_projection(table(spark, d, "detail_raw"), keep=("fetched_at",))
-    text = ["tmdb_id", "fetched_at", "title", "year", "director", "imdb_id", "vote_count", "original_language", "source_url"]
-    return p.select(*text, F.array_join("cast", "|").alias("cast_names"), F.array_join("genres", "|").alias("genre_names"))
+    return p.select(*_FLAT, F.array_join("cast", "|").alias("cast_names"), F.array_join("genres", "|").alias("genre_names"))
 
 
 _NEWEST = "newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tmdb_id ORDER BY fetched_at DESC, vote_count DESC NULLS LAST, title) AS rn FROM detail_raw) WHERE rn = 1)"
@@ -364,14 +415,58 @@ def _(spark, d):
     return j.select("tmdb_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("vote_count", F.lit(0)).alias("votes"), F.when(F.col("found"), "ok").otherwise("failed").alias("outcome"))
 
 
+@query(
+    "documents_build",
+    f"""WITH {_NEWEST}, {_DETAIL.replace("FROM detail_raw", "FROM newest")},
+v AS (SELECT source_url, max(coalesce(len(reviews), -1)) AS n FROM document_v1 WHERE source_url <> '' GROUP BY source_url),
+r AS (SELECT source_url, min(reviews) AS reviews FROM document_v1 JOIN v USING (source_url) WHERE coalesce(len(reviews), -1) = n GROUP BY source_url)
+SELECT tmdb_id, title, year, director, array_to_string(names, '|') AS cast_names, coalesce(len(reviews), 0) AS reviews_count,
+  concat_ws(' ', nullif(title, ''), nullif(title, ''), nullif(tagline, ''), nullif(array_to_string(genres, ' '), ''), nullif(director, ''), nullif(array_to_string(names, ' '), ''), nullif(overview, ''),
+    nullif(array_to_string(list_filter(coalesce(reviews, []), lambda x: length(x) >= 30), ' '), '')) AS rich_text
+FROM detail LEFT JOIN r USING (source_url)""",
+)
+def _(spark, d):
+    details = ingest.detail_projection(newest_details(spark, d))
+    v = table(spark, d, "document_v1").where(present("source_url").isNotNull()).select("source_url", "reviews")
+    fetched = ingest.first_by(v, ["source_url"], [-F.coalesce(F.size("reviews"), F.lit(-1)), F.col("reviews")])
+    reviews = details.select("tmdb_id", "source_url").join(fetched, "source_url").select("tmdb_id", "reviews")
+    built = ingest.build_documents(details, reviews)
+    return built.select("metadata.tmdb_id", "title", "year", "metadata.director", F.array_join("metadata.cast", "|").alias("cast_names"), "reviews_count", "rich_text")
+
+
+@query("documents_roundtrip", "SELECT doc_id, title, year, reviews_count, length(rich_text) AS n, len(metadata.genres) AS n_genres, (SELECT count(*) FROM documents) AS total_docs FROM documents")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    store.write_documents(docs_of(spark, d), path)
+    total = store.read_meta(spark, path).select("total_docs")
+    kept = store.read_documents(spark, path)
+    return kept.select("doc_id", "title", "year", "reviews_count", F.length("rich_text").cast("bigint").alias("n"), F.when(F.col("metadata.genres").isNotNull(), F.size("metadata.genres")).cast("bigint").alias("n_genres"), total.scalar().alias("total_docs"))
+
+
+@query("document_by_id", "SELECT doc_id, title, year FROM documents WHERE doc_id = 7")
+def _(spark, d):
+    return store.document_by_id(docs_of(spark, d), 7).select("doc_id", "title", "year")
+
+
+@query("vectors_roundtrip", "SELECT vec_id AS doc_id, len(embedding) AS n, round(list_inner_product(embedding::double[], embedding::double[]), 4) AS square FROM embeddings")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    store.write_vectors(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), path)
+    v = store.read_vectors(spark, path)
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return v.select("doc_id", F.size("embedding").cast("bigint").alias("n"), F.round(square, 4).alias("square"))
+
+
 @query(
     "rich_text_build",
-    """SELECT source_url, concat_ws(' ', nullif(title, ''), nullif(title, ''), nullif(genre, ''), nullif(director, ''), nullif("cast", ''), nullif(synopsis, ''),
+    """SELECT source_url, concat_ws(' ', nullif(title, ''), nullif(title, ''), nullif(awards, ''), nullif(array_to_string(string_split(genre, ', '), ' '), ''), nullif(director, ''), nullif(array_to_string(list_slice(string_split("cast" || ', ' || "cast" || ', ' || "cast", ', '), 1, 10), ' '), ''), nullif(synopsis, ''),
   nullif(array_to_string(list_filter(coalesce(reviews, []), lambda r: length(r) >= 30), ' '), '')) AS text, coalesce(len(reviews), 0) AS n_all FROM document_v1""",
 )
 def _(spark, d):
     v = table(spark, d, "document_v1")
-    text = ingest.rich_text(F.col("title"), F.lit(""), F.array("genre"), F.col("director"), F.array("cast"), F.col("synopsis"), F.col("reviews"))
+    # the legacy form has one text for genres and cast: split, and the cast taken thrice, so that there are several and more than ten
+    thrice = F.split(F.concat_ws(", ", "cast", "cast", "cast"), ", ")
+    text = ingest.rich_text(F.col("title"), F.col("awards"), F.split("genre", ", "), F.col("director"), F.when(F.col("cast").isNotNull(), thrice), F.col("synopsis"), F.col("reviews"))
     return v.select("source_url", text.alias("text"), F.coalesce(F.size("reviews"), F.lit(0)).cast("bigint").alias("n_all"))
 
 
@@ -385,17 +480,24 @@ def _(spark, d):
 
 @query(
     "text_fallback",
-    """SELECT source_url, length(coalesce(nullif(rich, ''), legacy)) AS n_index, length(coalesce(rich, legacy)) AS n_reading FROM (
+    """SELECT source_url, coalesce(nullif(rich, ''), for_index) AS indexed, coalesce(rich, for_reading) AS reading FROM (
   SELECT source_url, CASE WHEN year < '2000' THEN '' WHEN year < '2010' THEN NULL ELSE synopsis END AS rich,
-    concat_ws(' ', nullif(title, ''), nullif(year, ''), nullif(synopsis, ''), nullif(director, ''), nullif(genre, ''), nullif(awards, ''), nullif("cast", ''), array_to_string(list_filter(coalesce(reviews, []), lambda r: r <> ''), ' ')) AS legacy
+    concat_ws(' ', nullif(title, ''), nullif(year, ''), nullif(synopsis, ''), nullif(director, ''), nullif(genre, ''), nullif(awards, ''), nullif("cast", ''),
+      CASE WHEN year < '1995' THEN nullif(director, '') END, CASE WHEN year < '1995' THEN nullif(array_to_string(string_split(genre, ', '), ' '), '') END,
+      CASE WHEN year < '1995' THEN nullif(array_to_string(list_slice(string_split("cast" || ', ' || "cast", ', '), 1, 5), ' '), '') END, CASE WHEN year < '1995' THEN nullif(title, '') END,
+      nullif(array_to_string(list_filter(coalesce(reviews, []), lambda r: r <> ''), ' '), '')) AS for_index,
+    concat_ws(' ', nullif(title, ''), nullif(synopsis, ''), nullif(director, ''), nullif(genre, ''), nullif(array_to_string(list_filter(coalesce(reviews, []), lambda r: r <> ''), ' '), '')) AS for_reading
   FROM document_v1)""",
 )
 def _(spark, d):
-    legacy = ingest.legacy_text(*[F.col(c) for c in ("title", "year", "synopsis", "director", "genre", "awards", "cast", "reviews")])
+    # records before 1995 are given metadata made of their own fields, so that its branch runs
+    people = F.when(F.col("cast").isNotNull(), F.split(F.concat_ws(", ", "cast", "cast"), ", "))
+    meta = F.when(F.col("year") < "1995", F.struct("director", F.split("genre", ", ").alias("genres"), people.alias("cast"), F.col("title").alias("tagline")))
+    v = table(spark, d, "document_v1").withColumn("metadata", meta)
+    for_index = ingest.legacy_text(*[F.col(c) for c in ("title", "year", "synopsis", "director", "genre", "awards", "cast", "reviews", "metadata")])
+    for_reading = ingest.legacy_reading_text(*[F.col(c) for c in ("title", "synopsis", "director", "genre", "reviews")])
     rich = F.when(F.col("year") < "2000", F.lit("")).when(F.col("year") < "2010", F.lit(None)).otherwise(F.col("synopsis"))
-    v = table(spark, d, "document_v1").select("source_url", rich.alias("rich"), legacy.alias("legacy"))
-    n = lambda c: F.length(c).cast("bigint")
-    return v.select("source_url", n(ingest.text_for_index(F.col("rich"), F.col("legacy"))).alias("n_index"), n(ingest.text_for_reading(F.col("rich"), F.col("legacy"))).alias("n_reading"))
+    return v.select("source_url", ingest.text_for_index(rich, for_index).alias("indexed"), ingest.text_for_reading(rich, for_reading).alias("reading"))
 
 
 @query(
@@ -453,16 +555,32 @@ def _(spark, d):
     return ingest.strategy_union(a, b, "tmdb_id", "popularity", "quality")
 
 
-@query("listing_page", "SELECT DISTINCT tmdb_id, popularity FROM listing WHERE strategy = 'popularity' ORDER BY popularity DESC, tmdb_id LIMIT 20 OFFSET 20")
+@query("listing_page", "SELECT tmdb_id, max(popularity) AS popularity FROM listing WHERE strategy = 'popularity' GROUP BY tmdb_id ORDER BY popularity DESC NULLS LAST, tmdb_id LIMIT 20 OFFSET 20")
+def _(spark, d):
+    return ingest.listing_page(table(spark, d, "listing"), "popularity", "popularity", page=2)
+
+
+@query("listing_page_quality", "SELECT tmdb_id, max(vote_average) AS vote_average FROM listing WHERE strategy = 'quality' GROUP BY tmdb_id ORDER BY vote_average DESC NULLS LAST, tmdb_id LIMIT 20")
 def _(spark, d):
-    items = table(spark, d, "listing").where(F.col("strategy") == "popularity").select("tmdb_id", "popularity").distinct()
-    return items.orderBy(F.desc("popularity"), "tmdb_id").offset(20).limit(20)
+    return ingest.listing_page(table(spark, d, "listing"), "quality", "vote_average")
 
 
-@query("enrich_candidates", "SELECT doc_id FROM documents WHERE nullif(metadata.imdb_id, '') IS NOT NULL AND reviews_count = 0 ORDER BY doc_id LIMIT 200")
+_OPEN = "SELECT doc_id FROM documents WHERE nullif(metadata.imdb_id, '') IS NOT NULL AND reviews_count = 0 AND doc_id NOT IN (SELECT doc_id FROM search_result WHERE doc_id IS NOT NULL AND score > 0.5)"
+
+
+def _served(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that stand for those already done: documents served with a high score."""
+    return table(spark, d, "search_result").where(F.col("score") > 0.5).select("doc_id")
+
+
+@query("enrich_candidates", f"{_OPEN} ORDER BY doc_id LIMIT 200")
 def _(spark, d):
-    c = docs_of(spark, d).where(present("metadata.imdb_id").isNotNull() & (F.col("reviews_count") == 0))
-    return c.select("doc_id").orderBy("doc_id").limit(200)  # the operator's own limit argument
+    return ingest.enrich_candidates(docs_of(spark, d), _served(spark, d), limit=200)  # the operator's own limit argument
+
+
+@query("enrich_pending", _OPEN)
+def _(spark, d):
+    return ingest.enrich_candidates(docs_of(spark, d), _served(spark, d))
 
 
 @query(
@@ -510,8 +628,7 @@ def _(spark, d):
     return y.where(F.col("year") >= 1990)
 
 
-_PLAIN = "translate(title, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')"
-_SLUG = f"regexp_replace(trim(regexp_replace(lower(regexp_replace({_PLAIN}, '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g')"
+_SLUG = "regexp_replace(trim(regexp_replace(lower(regexp_replace(strip_accents(title), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9\\s-]', '', 'g')), '\\s+', '-', 'g')"
 
 
 @query("slugify", f"SELECT DISTINCT title, {_SLUG} AS slug FROM listing WHERE title IS NOT NULL")
@@ -553,11 +670,34 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.regexp_extract("props", r'"k"\s*:\s*([0-9]+)', 1).cast("bigint").alias("k"))
 
 
-@query("quoted_texts", """SELECT doc_id, q FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '“([^”]{5,400})”', 1))) AS q FROM documents WHERE text IS NOT NULL) WHERE NOT contains(q, 'http') ORDER BY length(q) DESC, q, doc_id LIMIT 10""")
+@query(
+    "quoted_texts",
+    r"""WITH q AS (SELECT source_url, list_filter(list_distinct(coalesce(reviews, [])), lambda r: length(r) > 40 AND NOT contains(r, 'http')) AS q FROM document_v1),
+o AS (SELECT source_url, list_transform(list_sort(list_transform(q, lambda r: struct_pack(l := -length(replace(replace(replace(r, '\', '\\'), '"', '\"'), chr(10), '\n')), r := replace(replace(replace(r, '\', '\\'), '"', '\"'), chr(10), '\n'), t := r))), lambda x: x.t) AS q FROM q)
+SELECT source_url, array_to_string(list_slice(q, 1, 10), '|') AS quotes, least(len(q), 10) AS n FROM o""",
+)
 def _(spark, d):
-    t = docs_of(spark, d).where(F.col("text").isNotNull())
-    q = t.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("“([^”]{5,400})”"), 1))).alias("q"))
-    return q.where(~F.col("q").contains("http")).orderBy(F.desc(F.length("q")), "q", "doc_id").limit(10)
+    page = F.concat(F.lit("<script>"), F.to_json(F.transform(F.coalesce("reviews", F.array()), lambda r: F.struct(r.alias("quote")))), F.lit("</script>"))
+    v = table(spark, d, "document_v1").select("source_url", html.quotes(page).alias("q"))
+    return v.select("source_url", F.array_join("q", "|").alias("quotes"), F.size("q").cast("bigint").alias("n"))
+
+
+@query("page_id_finder", "SELECT DISTINCT tmdb_id, CASE WHEN tmdb_id % 3 < 2 THEN 'e' || tmdb_id END AS ems_id FROM listing")
+def _(spark, d):
+    ids = table(spark, d, "listing").select("tmdb_id").distinct()
+    name, kind = F.concat(F.lit("e"), F.col("tmdb_id").cast("string")), F.col("tmdb_id") % 3
+    page = F.when(kind == 0, F.concat(F.lit('{"emsId":"'), name, F.lit('"}'))).when(kind == 1, F.concat(F.lit('{"emsId":""} <div data-ems-id="'), name, F.lit('">'))).otherwise(F.lit("<p>none</p>"))
+    return ids.select("tmdb_id", html.first_found(page, '"emsId":"(.*?)"', 'data-ems-id="(.*?)"').alias("ems_id"))
+
+
+@query(
+    "short_quote_reviews",
+    r"""SELECT source_url, array_to_string(list_slice(list_filter(list_transform(coalesce(reviews, []), lambda r: trim(regexp_replace(r, '\s+', ' ', 'g'))), lambda x, i: length(x) > 50 AND length(x) < 3000 AND NOT contains(x, 'Expand')
+  AND NOT regexp_matches(lower(x), 'metacritic|sign in') AND list_position(list_transform(reviews, lambda r: trim(regexp_replace(r, '\s+', ' ', 'g'))), x) = i), 1, 10), '|') AS texts FROM document_v1""",
+)
+def _(spark, d):
+    page = F.array_join(F.transform(F.coalesce("reviews", F.array()), lambda r: F.concat(F.lit("<div class='c-siteReview_quote'><span>"), r, F.lit("</span></div>"))), "")
+    return table(spark, d, "document_v1").select("source_url", F.array_join(html.reviews(page, "span", min_chars=50), "|").alias("texts"))
 
 
 @query(
@@ -566,10 +706,26 @@ def _(spark, d):
 SELECT count(*) AS total, count(*) FILTER (done) AS done, count(*) FILTER (t = 'error') AS failed FROM l""",
 )
 def _(spark, d):
-    from tessera.sources.store import progress
+    e = table(spark, d, "events").select("user_id", F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"), F.col("event_id").alias("at"))
+    return store.progress(e, "user_id", "done")
+
+
+_STATES = "SELECT user_id, bool_or(event_type <> 'error') AS done, arg_max(event_type, event_id) = 'error' AS failed FROM events GROUP BY user_id"
+
 
+@query("progress_ids", _STATES)
+def _(spark, d):
     e = table(spark, d, "events").select("user_id", F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"), F.col("event_id").alias("at"))
-    return progress(e, "user_id", "done")
+    path = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}"
+    store.write_states(store.key_states(e, "user_id", "done"), path, "user_id")
+    return store.read_states(spark, path, "user_id").orderBy("user_id")
+
+
+@query("progress_resume", f"WITH s AS ({_STATES}) SELECT tmdb_id FROM (SELECT DISTINCT tmdb_id FROM listing) ANTI JOIN (SELECT user_id AS tmdb_id FROM s WHERE done OR failed) USING (tmdb_id)")
+def _(spark, d):
+    states = QUERIES["progress_ids"](spark, d)
+    handled = states.where(F.col("done") | F.col("failed")).select(F.col("user_id").alias("tmdb_id"))
+    return ingest.unprocessed(table(spark, d, "listing").select("tmdb_id").distinct(), handled, "tmdb_id")
 
 
 @query("store_stats", "SELECT count(*) AS total, count(DISTINCT metadata.tmdb_id) AS films, coalesce(sum(reviews_count), 0)::bigint AS reviews, count(*) FILTER (nullif(rich_text, '') IS NULL) AS without_text FROM documents")
@@ -585,7 +741,7 @@ def _(spark, d):
     return e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("start"), F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_ingest")
+@query("stream_ingest", "SELECT * FROM events")
 def _(spark, d):
     from tessera.streaming.ingest import current, ingest_files
 
@@ -593,3 +749,12 @@ def _(spark, d):
     schema = table(spark, d, "events").schema
     ingest_files(spark, d, schema, f"{home}/out", f"{home}/state", "event_id", pattern="events.parquet")
     return current(spark, f"{home}/out", "event_id")
+
+
+@query("stream_daily_events", ORACLE["daily_events"])
+def _(spark, d):
+    from tessera.streaming.ingest import count_files
+
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    counts = count_files(spark, d, table(spark, d, "events").schema, f"{home}/out", f"{home}/state", "ts", "event_type", pattern="events.parquet")
+    return counts.select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n")

@@ -3,10 +3,8 @@
 Written from the algorithm's public description. Suffix lists and exceptional forms are fixed values.
 """
 
-from __future__ import annotations
-
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -122,18 +120,29 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@F.pandas_udf(StringType())
-def stem_udf(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in words:
-        yield s.map(lambda w: stem(w) if isinstance(w, str) else None)
+def stemmer(language: str) -> Callable[[str], str]:
+    """The stemming function of a language: english or spanish."""
+    if language == "spanish":
+        from tessera.functions.stem_es import stem as spanish
+
+        return spanish
+    if language == "english":
+        return stem
+    raise ValueError("language must be english or spanish")
 
 
-def stem_vocabulary(postings: DataFrame) -> DataFrame:
+def stem_vocabulary(postings: DataFrame, language: str = "english") -> DataFrame:
     """term, stem for each distinct term: the only Python work, done once a term and not once a token."""
-    return postings.select("term").distinct().select("term", stem_udf("term").alias("stem"))
+    one = stemmer(language)
+
+    def stems(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in words:
+            yield s.map(lambda w: one(w) if isinstance(w, str) else None)
+
+    return postings.select("term").distinct().select("term", F.pandas_udf(stems, StringType())("term").alias("stem"))
 
 
-def stem_postings(postings: DataFrame) -> DataFrame:
+def stem_postings(postings: DataFrame, language: str = "english") -> DataFrame:
     """Postings with stems as terms; counts of terms with one stem add up."""
-    stems = stem_vocabulary(postings)
+    stems = stem_vocabulary(postings, language)
     return postings.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.sum("tf").alias("tf"))

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 ASCII_ALNUM = "[a-z0-9]"
-# Letters with an accent and the letter each becomes once the accent is dropped: fixed values.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 
 def present(value: Column | str) -> Column:
@@ -50,14 +50,37 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+@cache
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """From the Unicode database: characters whose compatibility decomposition holds one ASCII character, those characters, and the
+    text of all others that hold more or lie beyond the basic plane."""
+    one, plain, more = [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
+        kept = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode() if not 0xD800 <= code < 0xE000 else ""
+        if len(kept) == 1 and code < 0x10000:
+            one.append(chr(code))
+            plain.append(kept)
+        elif kept:
+            more[chr(code)] = kept
+    return "".join(one), "".join(plain), more
+
+
+def to_ascii(text: Column) -> Column:
+    """The ASCII characters of the text's compatibility decomposition (accents dropped, ligatures spelled out, the rest deleted)."""
+    one, plain, more = _decompositions()
+    simple = F.translate(text, one, plain)
+    table = F.create_map(*[F.lit(x) for kv in more.items() for x in kv])
+    spelled = F.array_join(F.transform(F.split(simple, ""), lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_element_at(table, c), F.lit(""))).otherwise(c)), "")
+    return F.when(simple.rlike(r"[^\x00-\x7F]"), spelled).otherwise(simple)
+
+
 def slugify(text: Column) -> Column:
-    """Accents dropped, other non-ASCII deleted, lower case, only a-z 0-9 space and hyphen, spaces to single hyphens.
+    """ASCII form, lower case, only a-z 0-9 white space and hyphen, white space trimmed at the ends and else made single hyphens.
 
     Null stays null; a title with nothing left gives ``''``.
     """
-    plain = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
-    kept = F.trim(F.regexp_replace(F.lower(plain), r"[^a-z0-9\s-]", ""))
-    return F.regexp_replace(kept, r"\s+", "-")
+    kept = F.regexp_replace(F.lower(to_ascii(text)), r"[^a-z0-9\s-]", "")
+    return F.regexp_replace(F.regexp_replace(kept, r"^\s+|\s+$", ""), r"\s+", "-")
 
 
 def year_of(date_text: Column) -> Column:

@@ -1,8 +1,8 @@
 """Cutting lineage so that a job survives lost executors.
 
 Data that a later step must see unchanged (row positions, partition offsets) or that is costly to make again is
-written to the folder all executors share, named by ``spark.checkpoint.dir``. Only where a session names none, as in
-tests, is a folder of its own set.
+written to the folder all executors share, named by ``spark.checkpoint.dir``. Only a local session that names none, as in
+tests, gets a folder of its own; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         atexit.register(shutil.rmtree, configured, True)
     context.setCheckpointDir(configured)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import query_tokens, tokens
@@ -48,14 +48,15 @@ def index_size(postings: DataFrame, target: int = 10_000) -> DataFrame:
     return docs.select("n_docs", "n_terms", F.greatest(F.lit(0), F.lit(target) - F.col("n_terms")).cast("bigint").alias("shortfall"))
 
 
-def posting_lists(postings: DataFrame, max_df: int) -> DataFrame:
-    """term and its postings ``doc:tf`` by doc_id as one string, for terms in at most ``max_df`` documents.
+def posting_lists(postings: DataFrame, block: int = 4096) -> DataFrame:
+    """term, block and the postings ``doc:tf`` of that block of doc_ids, by doc_id, as one string, for all terms.
 
-    The bound keeps a list within one row; terms above it are served from the long table.
+    A term's list is divided by doc_id, so that no row grows with the collection: concatenated in the order of their blocks
+    the strings are the whole list.
     """
-    rare = document_frequency(postings).where(F.col("df") <= max_df).select("term")
-    lists = postings.join(rare, "term", "left_semi").groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
-    return lists.select("term", F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["tf"].cast("string"))), ",").alias("postings"))
+    keyed = postings.groupBy("term", F.floor(F.col("doc_id") / F.lit(block)).alias("block"))
+    lists = keyed.agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
+    return lists.select("term", "block", F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["tf"].cast("string"))), ",").alias("postings"))
 
 
 def top_terms(postings: DataFrame, k: int = 20) -> DataFrame:
@@ -80,6 +81,19 @@ def lookup_term(postings: DataFrame, docs: DataFrame, term: str, k: int = 10) ->
     return top.join(names, "doc_id", "left").select("doc_id", "tf", F.coalesce("title", F.lit("?")).alias("title"), F.coalesce("year", F.lit("?")).alias("year"))
 
 
+def lookup_terms(postings: DataFrame, docs: DataFrame, words: Iterable[str], k: int = 10) -> DataFrame:
+    """term, place, doc_id, tf, title, year: what :func:`lookup_term` gives for each of several words, and n_docs of the term.
+
+    The words are literals, so they bound the result; the best of a term are cut in each task before they are shuffled.
+    """
+    terms = list(dict.fromkeys(t for w in words for t in query_tokens(w)[:1]))
+    asked = postings.where(F.col("term").isin(terms))
+    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("tf"), "doc_id"))
+    top = asked.withColumn("place", place).where(F.col("place") <= k).join(F.broadcast(document_frequency(asked)), "term")
+    named = top.join(docs.select("doc_id", "title", "year"), "doc_id", "left")
+    return named.select("term", "place", "doc_id", "tf", F.col("df").alias("n_docs"), F.coalesce("title", F.lit("?")).alias("title"), F.coalesce("year", F.lit("?")).alias("year"))
+
+
 def upsert_postings(old: DataFrame, new: DataFrame) -> DataFrame:
     """Postings after documents are added again: tf of the new text where a pair is new, stale pairs stay."""
     n = new.select("term", "doc_id", F.col("tf").alias("new_tf"))

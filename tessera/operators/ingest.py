@@ -6,12 +6,15 @@ read, so further columns change nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import first_present, present, year_of
+from tessera.skew import hot_keys, salted_lookup
 
-MAX_CAST = 10
+MAX_CAST, LEGACY_CAST = 10, 5
 MIN_REVIEW_CHARS = 30
 
 
@@ -99,10 +102,23 @@ def build_documents(details: DataFrame, reviews: DataFrame) -> DataFrame:
     return d.select("title", "year", F.struct(*meta).alias("metadata"), text.alias("rich_text"), F.coalesce(F.size("__reviews"), F.lit(0)).cast("bigint").alias("reviews_count"))
 
 
-def legacy_text(title: Column, year: Column, synopsis: Column, director: Column, genre: Column, awards: Column, cast: Column, reviews: Column) -> Column:
-    """Text of a flat legacy record for indexing: seven root fields and the reviews, absent parts skipped."""
-    parts = [present(x) for x in (title, year, synopsis, director, genre, awards, cast)]
-    return F.concat_ws(" ", *parts, F.array_join(F.filter(F.coalesce(reviews, F.array()), lambda r: r != ""), " "))
+def _joined(*parts: Column, reviews: Column) -> Column:
+    return F.concat_ws(" ", *[present(x) for x in parts], present(F.array_join(F.filter(F.coalesce(reviews, F.array()), lambda r: r != ""), " ")))
+
+
+def legacy_text(title: Column, year: Column, synopsis: Column, director: Column, genre: Column, awards: Column, cast: Column, reviews: Column, metadata: Column | None = None) -> Column:
+    """Text of a flat legacy record for indexing: seven root fields, then what its ``metadata`` has of director, genres, the first
+    five of the cast and tagline, then the reviews; absent parts are skipped."""
+    more = []
+    if metadata is not None:
+        many = lambda a: F.array_join(F.coalesce(a, F.array()), " ")
+        more = [metadata["director"], many(metadata["genres"]), many(F.slice(F.coalesce(metadata["cast"], F.array()), 1, LEGACY_CAST)), metadata["tagline"]]
+    return _joined(title, year, synopsis, director, genre, awards, cast, *more, reviews=reviews)
+
+
+def legacy_reading_text(title: Column, synopsis: Column, director: Column, genre: Column, reviews: Column) -> Column:
+    """Text of a flat legacy record for reading: four root fields and the reviews, absent parts skipped."""
+    return _joined(title, synopsis, director, genre, reviews=reviews)
 
 
 def text_for_index(rich: Column, legacy: Column) -> Column:
@@ -164,29 +180,48 @@ def enrich_outcomes(candidates: DataFrame, fetched: DataFrame, key: str) -> Data
     return j.agg(F.count_if(got > 0).alias("enriched"), F.count_if(got <= 0).alias("skipped"), F.count_if(F.col("reviews").isNull()).alias("errors"))
 
 
-def source_filters(listing: DataFrame, strategies: dict[str, int], min_year: int = 1990, language: str = "en") -> DataFrame:
-    """Rows of each strategy with at least its number of votes, released from ``min_year`` on, in ``language``.
+def source_filters(listing: DataFrame, strategies: dict[str, int], min_year: int = 1990, language: str = "en", adult: str | None = None) -> DataFrame:
+    """Rows of each strategy with at least its number of votes, released from ``min_year`` on, in ``language``; with a column named
+    in ``adult`` only rows for which it is not true.
 
-    All of it is comparisons of columns, so a Parquet scan sees them as pushed filters. Rows with an absent value are left out.
+    All of it is comparisons of columns, so a Parquet scan sees them as pushed filters. Rows with an absent value are left out;
+    an absent adult flag counts as false.
     """
+    if adult is not None:
+        listing = listing.where(F.col(adult).isNull() | ~F.col(adult))
     enough = F.lit(False)
     for name, votes in strategies.items():
         enough |= (F.col("strategy") == name) & (F.col("vote_count") >= votes)
     return listing.where(enough & (F.col("year") >= str(min_year)) & (F.col("original_language") == language))
 
 
+def listing_page(listing: DataFrame, strategy: str, sort: str, page: int = 1, size: int = 20, key: str = "tmdb_id") -> DataFrame:
+    """key and ``sort`` of one page of a strategy's items, highest first, ties by key; an item listed several times counts once."""
+    items = listing.where(F.col("strategy") == strategy).groupBy(key).agg(F.max(sort).alias(sort))
+    return items.orderBy(F.desc_nulls_last(sort), key).offset((page - 1) * size).limit(size)
+
+
+def enrich_candidates(docs: DataFrame, done: DataFrame, limit: int = 0) -> DataFrame:
+    """doc_id of the documents with an imdb id and no reviews that are not in ``done`` (doc_id); the first ``limit`` by id, or all for 0."""
+    open_ = docs.where(present("metadata.imdb_id").isNotNull() & (F.col("reviews_count") == 0)).select("doc_id")
+    left = unprocessed(open_, done, "doc_id")
+    return left.orderBy("doc_id").limit(limit) if limit > 0 else left
+
+
 def unprocessed(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in ``seen``; rows without a key stay."""
     return rows.join(seen.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
-def first_match(rows: DataFrame, key: str, candidates: list[Column], table: DataFrame, on: str, value: str) -> DataFrame:
+def first_match(rows: DataFrame, key: str, candidates: list[Column], table: DataFrame, on: str, value: str, rows_per_task: int = 1_000_000) -> DataFrame:
     """key, value: of several candidate keys in priority order, the value of the first that the table has and that is not absent.
 
-    ``table`` has one row per ``on``. Rows without a match have a null value.
+    ``table`` has one row per ``on``. Rows without a match have a null value. A candidate that very many rows share is looked up
+    in several tasks.
     """
     tried = rows.select(F.col(key), F.posexplode(F.array(*candidates)).alias("priority", on))
-    found = tried.join(table.select(on, value).where(present(value).isNotNull()), on)
+    hot = hot_keys(tried.groupBy(on).agg(F.count(F.lit(1)).alias("n")), on, F.col("n"), rows_per_task)
+    found = salted_lookup(tried, table.select(on, value).where(present(value).isNotNull()), on, hot, F.col(key))
     best = found.groupBy(key).agg(F.min_by(value, "priority").alias(value))
     return rows.select(key).distinct().join(best, key, "left")
 
@@ -202,9 +237,7 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "doc_id") -> DataFram
     parts = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     fixed = cut(parts.withColumn("__part", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id() % F.lit(1 << 33)))
     counts = sorted((r["__part"], r["n"]) for r in fixed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
-    start, total = {}, 0
-    for part, n in counts:
-        start[part] = total
-        total += n
-    offsets = F.create_map(*[F.lit(x) for kv in start.items() for x in kv]) if start else F.create_map(F.lit(0), F.lit(0))
-    return fixed.withColumn(name, (offsets[F.col("__part")] + F.col("__n")).cast("bigint")).drop("__part", "__n")
+    starts = accumulate((n for _, n in counts), initial=0)
+    offsets = df.sparkSession.createDataFrame([(part, start) for (part, _), start in zip(counts, starts)], "__part int, __start bigint")
+    placed = fixed.join(F.broadcast(offsets), "__part")  # one row a partition
+    return placed.withColumn(name, F.col("__start") + F.col("__n")).drop("__part", "__n", "__start")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from tessera.functions.stem import stem_postings
 from tessera.operators.index import term_frequencies
 from tessera.operators.weights import tfidf_weights
 from tessera.sources.store import POSTINGS, WEIGHTS, write_by_term
@@ -22,15 +23,16 @@ class Index:
     weights: DataFrame
 
 
-def build_index(docs: DataFrame, path: str, text: str = "rich_text", stop_words: Iterable[str] = ()) -> Index:
-    """Write ``path/postings`` and ``path/weights`` from the documents, and open them.
+def build_index(docs: DataFrame, path: str, text: str = "rich_text", stop_words: Iterable[str] = (), language: str | None = None) -> Index:
+    """Write ``path/postings`` and ``path/weights`` from the documents, and open them; with a ``language``, of stems.
 
     Range partitioning reads its input twice (once for a sample), so the counts are written as they come first: texts are
     tokenised once.
     """
     read = docs.sparkSession.read
     term_frequencies(docs, text, stop_words=stop_words).write.mode("overwrite").parquet(f"{path}/counts")
-    write_by_term(read.schema(POSTINGS).parquet(f"{path}/counts"), f"{path}/postings")
+    counts = read.schema(POSTINGS).parquet(f"{path}/counts")
+    write_by_term(counts if language is None else stem_postings(counts, language), f"{path}/postings")
     write_by_term(tfidf_weights(read.schema(POSTINGS).parquet(f"{path}/postings")), f"{path}/weights")
     return open_index(docs, path)
 

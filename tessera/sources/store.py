@@ -6,6 +6,7 @@ Missing files read as empty tables where that is the defined behaviour of the st
 from __future__ import annotations
 
 import json
+import os
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,24 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    docs.write.mode("overwrite").parquet(path)
+    """The documents as Parquet under ``path/documents``, and one row about them (version, total, time) under ``path/meta``."""
+    docs.write.mode("overwrite").parquet(f"{path}/documents")
+    stored = docs.sparkSession.read.schema(docs.schema).parquet(f"{path}/documents")
+    about = stored.agg(F.lit("2.0").alias("version"), F.count(F.lit(1)).alias("total_docs"), F.current_timestamp().alias("last_updated"))
+    about.write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/documents")
+
+
+def read_meta(spark: SparkSession, path: str) -> DataFrame:
+    return read_or_empty(spark, f"{path}/meta", "version string, total_docs bigint, last_updated timestamp")
+
+
+def document_by_id(docs: DataFrame, doc_id: int) -> DataFrame:
+    """The document with one id, or no row. The id is a literal that the scan sees."""
+    return docs.where(F.col("doc_id") == doc_id).limit(1)
 
 
 def write_by_term(table: DataFrame, path: str) -> None:
@@ -56,19 +74,46 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
     vectors.select("doc_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(path)
 
 
-def progress(events: DataFrame, key: str, done: str) -> DataFrame:
-    """One row total, done, failed from (key, status, at) events.
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, embedding; no table gives no rows."""
+    return read_or_empty(spark, path, VECTORS)
+
+
+def key_states(events: DataFrame, key: str, done: str) -> DataFrame:
+    """key, done, failed from (key, status, at) events, null keys left out.
 
     A key once done stays done; it is failed while its last event is another one; a key may be both. Partial aggregation keeps
     one row a key and task, whatever the number of its events.
     """
     is_done = F.col("status") == done
-    state = events.groupBy(key).agg(F.max_by(~is_done, "at").alias("failed"), F.max(is_done).alias("done"))
-    return state.agg(F.count(F.lit(1)).alias("total"), F.count_if("done").alias("done"), F.count_if("failed").alias("failed"))
+    return events.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(is_done).alias("done"), F.max_by(~is_done, "at").alias("failed"))
+
+
+def progress(events: DataFrame, key: str, done: str) -> DataFrame:
+    """One row total, done, failed of :func:`key_states`."""
+    return key_states(events, key, done).agg(F.count(F.lit(1)).alias("total"), F.count_if("done").alias("done"), F.count_if("failed").alias("failed"))
+
+
+def write_states(states: DataFrame, path: str, key: str) -> None:
+    """The states sorted by key, in ranges; a folder of their own, so that a run that breaks leaves the former ones."""
+    states.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+
+
+def read_states(spark: SparkSession, path: str, key: str, kind: str = "bigint") -> DataFrame:
+    """Stored states; none where nothing is stored."""
+    return read_or_empty(spark, path, f"{key} {kind}, done boolean, failed boolean")
+
+
+def reset_states(spark: SparkSession, path: str, key: str, kind: str = "bigint") -> None:
+    spark.createDataFrame([], f"{key} {kind}, done boolean, failed boolean").write.mode("overwrite").parquet(path)
 
 
 class ProgressFile:
-    """Small resumable state (cursors and counters, no id lists) as one JSON text file; a corrupt file starts empty."""
+    """Small resumable state of one driver as one JSON text file: cursors, counters, short id lists, which are kept sorted.
+
+    A corrupt file starts empty. A save replaces the file at once, so a crash leaves the former state. States of many keys
+    belong into a table (:func:`write_states`).
+    """
 
     def __init__(self, path: str) -> None:
         self.path = path
@@ -79,10 +124,13 @@ class ProgressFile:
             self.state = {}
 
     def save(self, **values: object) -> None:
-        self.state |= values | {"last_updated": datetime.now(UTC).isoformat()}
-        with open(self.path, "w", encoding="utf-8") as f:
+        ordered = {k: sorted(v) if isinstance(v, (set, list, tuple)) else v for k, v in values.items()}
+        self.state |= ordered | {"last_updated": datetime.now(UTC).isoformat()}
+        with open(f"{self.path}.new", "w", encoding="utf-8") as f:
             json.dump(self.state, f, sort_keys=True)
+        os.replace(f"{self.path}.new", self.path)
 
     def reset(self) -> None:
         self.state = {}
-        self.save()
+        if os.path.exists(self.path):
+            os.remove(self.path)

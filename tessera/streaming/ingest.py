@@ -35,3 +35,15 @@ def event_counts(events: DataFrame, at: str, kind: str, every: str = "1 day", la
     """Windowed counts by kind with a watermark; ``at`` without zone is read as UTC."""
     timed = events.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", late)
     return timed.groupBy(F.window("__at", every).alias("w"), F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
+
+
+def count_files(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, at: str, kind: str, pattern: str = "*.parquet", every: str = "1 day") -> DataFrame:
+    """:func:`event_counts` of all files there are, kept as a table that each batch replaces, and read from it."""
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(source)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    counts = event_counts(stream, at, kind, every)
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target)
