@@ -35,6 +35,9 @@ def distinct_items(items: Column) -> Column:
     named = F.transform(F.coalesce(items, F.array().cast("array<string>")), normal_name)
     return F.array_distinct(F.filter(named, lambda x: x.isNotNull() & (x != "")))
 
+#: Two item numbers make one 64-bit code.
+MAX_ITEMS = 2**32
+
 
 def count_equal(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of a sorted array and how often each occurs."""
@@ -125,12 +128,14 @@ def cooccurrence(records: DataFrame, record_id: str, kinds: dict[str, str], min_
     singles = records.select(arrays).select(F.col("k.kind").alias("kind"), F.explode("k.items").alias("item")).select(key)
     frequent = singles.groupBy("key").agg(F.count(F.lit(1)).alias("n_item")).where(F.col("n_item") >= min_count)
     names = cut(dense_ids(frequent.select(F.col("key.kind").alias("kind"), F.col("key.item").alias("item"), "key", "n_item"), ["kind", "item"], "item_no").select("key", "n_item", "item_no"))
+    if names.count() > MAX_ITEMS:
+        raise ValueError("more items than 32 bits can number")
     hot = hot_keys(names, "key", F.col("n_item"), ROWS_PER_TASK)
     numbered = salted_lookup(long, names.select("key", "item_no"), "key", hot, F.col("record"))
     sets = numbered.groupBy("record", F.col("key.kind").alias("kind")).agg(F.sort_array(F.collect_list("item_no")).alias("ids"))  # a record's own items
     runs = sets.where(F.size("ids") > 1).select("ids").mapInArrow(sorted_runs, "code bigint, n bigint")
     pairs = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merged(min_count), "code bigint, n bigint")
-    coded = pairs.select(F.shiftright("code", 32).alias("no_a"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("no_b"), F.col("n").alias("n_ab"))
+    coded = pairs.select(F.shiftrightunsigned("code", 32).alias("no_a"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("no_b"), F.col("n").alias("n_ab"))
     heavy = hot.join(names, "key").select("item_no", "__spread")
     side = lambda s: names.select(F.col("item_no").alias(f"no_{s}"), F.col("key").alias(f"key_{s}"), F.col("n_item").alias(f"n_{s}"))
     spread = lambda s: heavy.select(F.col("item_no").alias(f"no_{s}"), "__spread")

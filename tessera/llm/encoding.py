@@ -26,9 +26,9 @@ LATIN = "cp1252"
 DICTIONARY_BYTES = 24_000
 LEVEL = 9
 CONTEXT = 24
-#: Cost of a decoding step in bytes. Bytes that form UTF-8 by chance are rare, so such a step costs less than one that takes
-#: letters for others; sizes are whole bytes and vary by one or two. And the longest chain of steps.
-UTF8_STEP_COST, LETTER_STEP_COST = -2, 0
+#: Bytes that a step of the chain costs; bytes that it takes to describe, if a text is left as it is, that what stands there has the
+#: form of UTF-8, and that letters of another alphabet stand among Latin ones. And the longest chain of steps.
+STEP_COST, UTF8_FORM, MIXED_LETTERS = 1, 3, 1
 MAX_STEPS = 3
 #: Bytes for a place decoded to a single character that the samples do not hold.
 NEW_CHARACTER_COST = 7
@@ -191,8 +191,8 @@ def restore(text: str, describer: Describer) -> tuple[str, list[str], int, int]:
             if not changes:
                 continue
             old, new = _windows(text, changes)
-            cost = (UTF8_STEP_COST if step[1] == "utf_8" else LETTER_STEP_COST) + NEW_CHARACTER_COST * describer.new_characters(changes)
-            saved = describer.size(old) - describer.size(new) - cost
+            as_is = describer.size(old) + (UTF8_FORM if step[1] == "utf_8" else MIXED_LETTERS)
+            saved = as_is - describer.size(new) - STEP_COST - NEW_CHARACTER_COST * describer.new_characters(changes)
             if best is None or saved > best[0]:
                 best = (saved, step, changes)
         if best is None or best[0] < 0:

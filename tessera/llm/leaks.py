@@ -10,10 +10,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_WORDS = 100_000
+CHUNK_CHARS = 8_000_000
 _SPACE, _DROP = re.compile(r"\s+"), re.compile("[^a-z0-9 ]+")
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("longest", pa.int64()), ("covered", pa.int64()), ("item_words", pa.int64())])
 
@@ -149,6 +151,36 @@ def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int = BL
         yield block
 
 
+def shared_blocks(spark: SparkSession, items: DataFrame, shortest: int, block_words: int) -> list[Broadcast[Automaton]]:
+    """An automaton of each block of items. Executors read one at a time from their disks, so ``block_words`` bounds what is held."""
+    return [spark.sparkContext.broadcast(Automaton(block, shortest)) for block in item_blocks(items, "item_id", "text", block_words)]
+
+
+def in_turn(blocks: list[Broadcast[Automaton]]) -> Iterator[Automaton]:
+    """The automata one after another; of several only one is held."""
+    for b in blocks:
+        yield b.value
+        if len(blocks) > 1:
+            b.__dict__.pop("_value", None)
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str | None]]]:
+    """(ids, texts) of at most about CHUNK_CHARS characters: so many texts meet each block of items at once, in one scan."""
+    keys: list[int | None] = []
+    texts: list[str | None] = []
+    size = 0
+    for batch in batches:
+        for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys.append(key)
+            texts.append(text)
+            size += len(text or "")
+            if size >= CHUNK_CHARS:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def leaks(docs: DataFrame, items: DataFrame, min_words: int = 10, min_coverage: float | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, longest, covered, item_words, coverage: documents sharing ``min_words`` words in a row with an item.
 
@@ -160,22 +192,20 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = 10, min_coverage:
     body = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("body")).where(F.col("body") != "")
     shortest = min_words if min_coverage is None else max(1, min_words // 2)
     schema = "doc_id bigint, item_id bigint, longest bigint, covered bigint, item_words bigint"
-    out = spark.createDataFrame([], schema)
-    for number, block in enumerate(item_blocks(items, "item_id", "text", block_words)):
-        shared = spark.sparkContext.broadcast(Automaton(block, shortest))  # bounded by block_words
+    blocks = shared_blocks(spark, items, shortest, block_words)
 
-        def stream(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for batch in batches:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in chunks(batches):
+            sequences = [words(t) for t in texts]
+            for automaton in in_turn(blocks):
                 rows = []
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for item, (longest, covered) in automaton.leaked(words(text), shortest).items():
+                for key, sequence in zip(keys, sequences, strict=True):
+                    for item, (longest, covered) in automaton.leaked(sequence, shortest).items():
                         rows.append({"doc_id": key, "item_id": item, "longest": longest, "covered": covered, "item_words": automaton.sizes[item]})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
-        found = body.mapInArrow(stream, schema)
-        out = found if number == 0 else out.unionByName(found)
+    out = body.mapInArrow(stream, schema)
     coverage = F.least(F.lit(1.0), F.col("covered") / F.col("item_words"))
     merged = out.groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"), F.max("covered").alias("covered"), F.max("item_words").alias("item_words"))
     kept = F.col("longest") >= min_words
@@ -194,37 +224,28 @@ def without_leaks(docs: DataFrame, items: DataFrame, min_words: int = 10, block_
 
     A removed word goes with the white space after it. Documents without a shared run are unchanged; null stays null.
     """
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(None).cast("array<bigint>").alias("found"))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("found", pa.list_(pa.int64()))])
-    for block in item_blocks(items, "item_id", "text", block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(Automaton(block, min_words))
-
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for batch in batches:
-                rows = []
-                for key, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    spans = automaton.spans([p[2] for p in pieces(text)], min_words) if text else []
-                    rows.append({"doc_id": key, "text": text, "found": [*(found or []), *(x for span in spans for x in span)]})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-        out = out.mapInArrow(find, "doc_id bigint, text string, found array<bigint>")
-    # every block was matched against the original text; what any of them found is cut out once
-    done = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("removed", pa.int64())])
+    blocks = shared_blocks(docs.sparkSession, items, min_words, block_words)
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("removed", pa.int64())])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for keys, texts in chunks(batches):
+            parts = [pieces(t) if t else [] for t in texts]
+            gone: list[set[int]] = [set() for _ in texts]
+            for automaton in in_turn(blocks):  # every block is matched against the original text; all is cut out once
+                for mine, part in zip(gone, parts, strict=True):
+                    for first, last in automaton.spans([p[2] for p in part], min_words):
+                        mine.update(range(first, last + 1))
             rows = []
-            for key, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                gone = {k for first, last in zip((found or [])[::2], (found or [])[1::2], strict=True) for k in range(first, last + 1)}
-                if gone:
+            for key, text, part, mine in zip(keys, texts, parts, gone, strict=True):
+                if mine:
                     at, kept = 0, []
-                    for k, (start, end, _word) in enumerate(pieces(text)):
-                        if k in gone:
-                            kept.append(text[at:start] if k - 1 not in gone else "")
+                    for k, (start, end, _word) in enumerate(part):
+                        if k in mine:
+                            kept.append(text[at:start] if k - 1 not in mine else "")
                             at = end
                     text = "".join(kept) + text[at:]
-                rows.append({"doc_id": key, "text": text, "removed": len(gone)})
-            yield pa.RecordBatch.from_pylist(rows, schema=done)
+                rows.append({"doc_id": key, "text": text, "removed": len(mine)})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return out.mapInArrow(clean, "doc_id bigint, text string, removed bigint")
+    body = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return body.mapInArrow(clean, "doc_id bigint, text string, removed bigint")

@@ -23,6 +23,8 @@ OPEN_WINDOWS = 64
 GROUP = 64
 MAX_SPECS = 1000
 OUT_ROWS = 50_000
+#: In place of a piece: the row tells of a container left open.
+OPEN = -1
 #: How the vocabulary's tokenizer divides text before merging bytes: fixed value, as published with it.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -92,6 +94,8 @@ def _packer(specs: list[tuple[int, int]], vocabulary: str, limit: int):
                 if len(rows) >= OUT_ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_SCHEMA)
                     rows = []
+        for spec, capacity in specs:  # what stays open: a row without document
+            rows += [(spec, None, OPEN, 0, capacity - room, base + number) for room, number in windows[spec].open]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_SCHEMA)
 
@@ -136,11 +140,9 @@ def pack(docs: DataFrame, specs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY
     if not wanted:
         return placed
     capacity = F.create_map(*[F.lit(x) for kv in wanted for x in kv])
-    fills = placed.where(F.col("container").isNotNull()).groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("fill"))
-    rooms = fills.withColumn("capacity", capacity[F.col("spec_id")]).withColumn("part", F.shiftright("container", 32))
-    # the containers a task may have left open: the emptiest of its partition, at most ``windows`` of them
-    per_part = rooms.where(F.col("fill") < F.col("capacity")).groupBy("spec_id", "part").agg(F.expr(f"slice(array_sort(collect_list(struct(fill, container, capacity))), 1, {int(windows)})").alias("c"))
-    level = per_part.select("spec_id", F.col("part").alias("group_no"), F.explode("c").alias("c")).select("spec_id", F.col("c.container").alias("container"), F.col("c.fill").alias("fill"), "group_no", F.col("c.capacity").alias("capacity"))
+    # what each task left open, at most ``windows`` containers: the tasks say so themselves
+    level = placed.where(F.col("piece") == OPEN).select("spec_id", "container", F.col("n_tokens").alias("fill"), F.shiftright("container", 32).alias("group_no"), capacity[F.col("spec_id")].alias("capacity"))
+    items = placed.where(F.col("piece") != OPEN)
     parts = body.rdd.getNumPartitions()
     moves = None
     while True:
@@ -156,7 +158,7 @@ def pack(docs: DataFrame, specs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY
         if parts <= 1:
             break
         level = merged.where("open").groupBy("spec_id", "target", "group_no", "capacity").agg(F.sum("fill").alias("fill")).select("spec_id", F.col("target").alias("container"), "fill", "group_no", "capacity")
-    final = placed.join(moves, ["spec_id", "container"], "left")
+    final = items.join(moves, ["spec_id", "container"], "left")
     return final.select("spec_id", "doc_id", "piece", "first_token", "n_tokens", F.coalesce("target", "container").alias("container"))
 
 

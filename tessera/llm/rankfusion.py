@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
@@ -19,6 +20,7 @@ from tessera.lineage import cut
 
 #: Added to every rank before it is inverted: the usual constant of the method.
 RANK_CONSTANT = 60
+NONE = -1
 
 
 def _local_positions(keys: list[str]):
@@ -26,28 +28,23 @@ def _local_positions(keys: list[str]):
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        group = run = None
-        n = start = 0
-        first_group = first_run = True
+        before: list | None = None  # keys and value of the last row
+        n = start = groups = runs = 0
         for pdf in batches:
-            groups = list(zip(*(pdf[k] for k in keys), strict=True))
-            values = pdf["__value"].tolist()
-            at, begun, fg, fr = [], [], [], []
-            for g, v in zip(groups, values, strict=True):
-                if g != group:
-                    if group is not None:
-                        first_group = first_run = False
-                    group, run, n, start = g, v, 0, 1
-                    n = 1
-                else:
-                    n += 1
-                    if v != run:
-                        run, start, first_run = v, n, False
-                at.append(n)
-                begun.append(start)
-                fg.append(first_group)
-                fr.append(first_run)
-            pdf["__part"], pdf["__at"], pdf["__begun"], pdf["__fg"], pdf["__fr"] = part, at, begun, fg, fr
+            if not len(pdf):
+                continue
+            columns = [pdf[k].to_numpy() for k in keys] + [pdf["__value"].to_numpy()]
+            other = [np.concatenate(([before is None or c[0] != before[j]], c[1:] != c[:-1])) for j, c in enumerate(columns)]
+            new_group = np.logical_or.reduce(other[:-1])
+            new_run = new_group | other[-1]
+            index = np.arange(len(pdf))
+            began = np.maximum.accumulate(np.where(new_group, index, -1))
+            at = np.where(began < 0, n + index + 1, index - began + 1)
+            began = np.maximum.accumulate(np.where(new_run, index, -1))
+            begun = np.where(began < 0, start, at[began])
+            nth_group, nth_run = groups + np.cumsum(new_group), runs + np.cumsum(new_run)
+            pdf["__part"], pdf["__at"], pdf["__begun"], pdf["__fg"], pdf["__fr"] = part, at, begun, nth_group <= 1, nth_run <= 1
+            before, n, start, groups, runs = [c[-1] for c in columns], int(at[-1]), int(begun[-1]), int(nth_group[-1]), int(nth_run[-1])
             yield pdf
 
     return number
@@ -108,14 +105,15 @@ def fuse(results: DataFrame, group: str, item: str, scores: list[str], latest: s
     names = [f"s{k}" for k in range(len(scores))]
     nothing = F.lit(float("-inf"))
     chosen = F.max_by(F.struct(*names), F.struct(F.coalesce("at", F.lit(None)).alias("at"), *[F.coalesce(F.col(n), nothing).alias(n) for n in names]))
-    once = cut(kept.groupBy("g", "i").agg(chosen.alias("b")).select("g", "i", "b.*"))
-    long = once.select("g", "i", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(n).alias("v")) for k, n in enumerate(names)])).alias("x"))
-    given = long.select("g", "i", F.col("x.k").alias("k"), F.col("x.v").alias("v")).where(F.col("v").isNotNull())
+    once = kept.groupBy("g", "i").agg(chosen.alias("b")).select("g", "i", "b.*")
+    # one row a score, and one under the number NONE for an item without any, so that nothing has to be joined back
+    entries = [F.when(F.col(n).isNotNull(), F.struct(F.lit(k).alias("k"), F.col(n).alias("v"))) for k, n in enumerate(names)]
+    without = F.when(F.coalesce(*names).isNull(), F.struct(F.lit(NONE).alias("k"), F.lit(0.0).alias("v")))
+    given = once.select("g", "i", F.explode(F.filter(F.array(*entries, without), lambda x: x.isNotNull())).alias("x")).select("g", "i", "x.k", "x.v")
     ranks = positions(given, ["g", "k"], "v", ["i"])
-    total = ranks.groupBy("g", "i").agg(F.count(F.lit(1)).alias("n_scores"), *[F.sum(F.when(F.col("k") == k, 1.0 / (constant + F.col("rank")))).alias(f"r{k}") for k in range(len(scores))])
-    parts = [F.coalesce(F.col(f"r{k}"), F.lit(0.0)) for k in range(len(scores))]
-    fused = parts[0]
-    for p in parts[1:]:
-        fused = fused + p
-    value = once.select("g", "i").join(total, ["g", "i"], "left").select("g", "i", F.coalesce("n_scores", F.lit(0)).alias("n_scores"), F.round(F.coalesce(fused, F.lit(0.0)), 12).alias("fused"))
+    shares = [F.coalesce(F.sum(F.when(F.col("k") == k, 1.0 / (constant + F.col("rank")))), F.lit(0.0)) for k in range(len(scores))]
+    fused = shares[0]
+    for share in shares[1:]:
+        fused = fused + share
+    value = ranks.groupBy("g", "i").agg(F.count_if(F.col("k") != NONE).alias("n_scores"), F.round(fused, 12).alias("fused"))
     return positions(value, ["g"], "fused", ["i"]).select(F.col("g").alias(group), F.col("i").alias(item), "n_scores", "fused", "position")
