@@ -59,6 +59,11 @@ def index_of(spark: SparkSession, directory: str) -> Index:
     return _built[key]
 
 
+def forget_index(spark: SparkSession, directory: str) -> None:
+    """So that the next use builds it anew."""
+    _built.pop((spark.sparkContext.applicationId, directory), None)
+
+
 def postings_of(spark: SparkSession, directory: str) -> DataFrame:
     return index_of(spark, directory).postings
 
@@ -238,24 +243,31 @@ _pnorm("pnorm_p_large", OR_QUERY, 20.0, "OR")
 _pnorm("pnorm_oov_and_repeats", REPEATED, 2.0, "AND")
 
 
-@query(
-    "pnorm_batch",
-    f"""WITH {_WEIGHTS},
+_BATCH = f"""{_WEIGHTS},
 req AS (SELECT DISTINCT request_id, query, coalesce(p, 2.0) AS p FROM search_request),
 qt AS (SELECT request_id, p, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS term FROM req),
 qtok AS (SELECT request_id, p, term, count(*) AS c FROM qt WHERE regexp_matches(term, '[a-z0-9]') AND term NOT IN ({_STOPS}) GROUP BY ALL),
 ms AS (SELECT request_id, sum(c)::double AS m FROM qtok GROUP BY request_id),
-raw AS (SELECT request_id, doc_id, pow(sum(c * pow(w, p)) / any_value(m), 1.0 / any_value(p)) AS s FROM qtok JOIN weights USING (term) JOIN ms USING (request_id) GROUP BY request_id, doc_id)
-SELECT request_id AS query_id, count(*) AS n, round(max(s), 4) AS best FROM raw WHERE s > 0.000001 GROUP BY request_id""",
-)
-def _(spark, d):
+raw AS (SELECT request_id, doc_id, pow(sum(c * pow(w, p)) / any_value(m), 1.0 / any_value(p)) AS s FROM qtok JOIN weights USING (term) JOIN ms USING (request_id) GROUP BY request_id, doc_id)"""
+
+
+def _batch(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
     from tessera.functions.text import tokens
 
     req = table(spark, d, "search_request").select(F.col("request_id").alias("query_id"), "query", F.coalesce("p", F.lit(2.0)).alias("p")).distinct()
     terms = req.select("query_id", F.explode(tokens(F.col("query"), STOP_WORDS)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("c"))
     m = terms.groupBy("query_id").agg(F.sum("c").alias("m"))
-    found = pnorm.score_batch(weights_of(spark, d), req.join(m, "query_id").select("query_id", "m", "p"), terms)
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 4).alias("best"))
+    return pnorm.score_batch(weights_of(spark, d), req.join(m, "query_id").select("query_id", "m", "p"), terms, k=k)
+
+
+@query("pnorm_batch", f"WITH {_BATCH} SELECT request_id AS query_id, count(*) AS n, round(max(s), 4) AS best FROM raw WHERE s > 0.000001 GROUP BY request_id")
+def _(spark, d):
+    return _batch(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 4).alias("best"))
+
+
+@query("pnorm_batch_top10", f"WITH {_BATCH} SELECT request_id AS query_id, round(s, 6) AS score FROM raw WHERE s > 0.000001 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(s, 6) DESC, doc_id) <= 10")
+def _(spark, d):
+    return _batch(spark, d, 10).select("query_id", "score")
 
 
 # --- vectors and hybrid ------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -69,7 +70,7 @@ def to_ascii(text: Column) -> Column:
     """The ASCII characters of the text's compatibility decomposition (accents dropped, ligatures spelled out, the rest deleted)."""
     one, plain, more = _decompositions()
     simple = F.translate(text, one, plain)
-    table = F.create_map(*[F.lit(x) for kv in more.items() for x in kv])
+    table = F.from_json(F.lit(json.dumps(more)), "map<string,string>")  # one literal, folded before the query runs
     spelled = F.array_join(F.transform(F.split(simple, ""), lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_element_at(table, c), F.lit(""))).otherwise(c)), "")
     return F.when(simple.rlike(r"[^\x00-\x7F]"), spelled).otherwise(simple)
 
