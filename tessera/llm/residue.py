@@ -266,6 +266,12 @@ def _evidence(wording: bool):
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROWS.types, strict=True)], schema=_ROWS)
 
+    def pages_of(ids: list[int | None], pages: list[int], made_of: list[int], ends: list[int]) -> pa.RecordBatch:
+        n = len(ids)
+        none = pa.nulls(n, pa.int64())
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(made_of, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([2] * n, pa.int32()), pa.array(ids, pa.int64()), pa.array(pages, pa.int64()), none, pa.nulls(n, pa.string()), lists], schema=_ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frames: Counter[int] = Counter()
 
@@ -276,6 +282,7 @@ def _evidence(wording: bool):
 
         for batch in batches:
             rows: list[tuple] = []
+            ids, pages, made_of, ends = [], [], [], [0]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
@@ -295,11 +302,16 @@ def _evidence(wording: bool):
                         page[_hash(frame(s))] = None
                 frames.update(page.keys())
                 if page:
-                    rows.append((2, key, _hash(",".join(map(str, page))), None, None, list(page)))
+                    ids.append(key)
+                    pages.append(_hash(",".join(map(str, page))))
+                    made_of += page
+                    ends.append(len(made_of))
                 if len(frames) > HELD_FRAMES:
                     yield flush()
             if rows:
                 yield batch_of(rows)
+            if ids:
+                yield pages_of(ids, pages, made_of, ends)
         if frames:
             yield flush()
 
