@@ -28,7 +28,7 @@ def _below(h: Column, rows: int, total: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: list[str], label: str = "lang", text: str = "text", key: str = "doc_id", rows: int = ROWS_PER_LABEL) -> list[tuple[str, str]]:
-    """(label, text) of at most ``rows`` rows of each label: those with the smallest hash of key and text.
+    """(label, text) of at most ``rows`` rows of each label: those with the smallest hash of the key.
 
     Fewer than the bound are taken where fewer exist; the same rows are taken however the table is divided. The labels are
     counted first (one narrow column), so that one scan of the texts lets through little more than what is wanted. The texts are
@@ -36,7 +36,7 @@ def labelled_sample(docs: DataFrame, labels: list[str], label: str = "lang", tex
     """
     known = docs.where(F.col(label).isin(labels) & (F.length(text) > 0))
     counts = {r[0]: r[1] for r in docs.where(F.col(label).isin(labels)).groupBy(label).count().collect()}
-    h = F.xxhash64(F.col(key), F.col(text))
+    h = F.xxhash64(F.col(key))
     wanted = F.lit(False)
     for v, n in sorted(counts.items()):
         wanted = wanted | ((F.col(label) == v) & _below(h, rows, n))
@@ -49,8 +49,8 @@ def labelled_sample(docs: DataFrame, labels: list[str], label: str = "lang", tex
 
 
 def hashed_texts(docs: DataFrame, key: str, text: str, rows: int, total: int, chars: int) -> list[str]:
-    """The beginnings of at most ``rows`` texts of ``total``, those with the smallest hash of key and text, whatever their labels."""
-    h = F.xxhash64(F.col(key), F.col(text))
+    """The beginnings of at most ``rows`` texts of ``total``, those with the smallest hash of the key, whatever their labels."""
+    h = F.xxhash64(F.col(key))
     kept = docs.where((F.length(text) > 0) & _below(h, rows, total)).select(h.alias("h"), F.substring(text, 1, chars).alias("t"))
     return [r["t"] for r in kept.orderBy("h", "t").limit(rows).collect()]
 
