@@ -265,9 +265,12 @@ def _(spark, d):
     return _batch(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 4).alias("best"))
 
 
-@query("pnorm_batch_top10", f"WITH {_BATCH} SELECT request_id AS query_id, round(round(s, 6), 4) AS score FROM raw WHERE s > 0.000001 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(s, 6) DESC, doc_id) <= 10")
+@query(
+    "pnorm_batch_top10",
+    f"WITH {_BATCH}, top AS (SELECT request_id, s FROM raw WHERE s > 0.000001 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(s, 6) DESC, doc_id) <= 10) SELECT request_id AS query_id, count(*) AS n, round(max(s), 4) AS best FROM top GROUP BY request_id",
+)
 def _(spark, d):
-    return _batch(spark, d, 10).select("query_id", F.round("score", 4).alias("score"))
+    return _batch(spark, d, 10).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 4).alias("best"))
 
 
 # --- vectors and hybrid ------------------------------------------------------------------------------------------

@@ -136,3 +136,14 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         lineage.ensure_checkpoint_dir(Session())
+
+
+def test_best_k_of_each_query(spark):
+    from tessera.operators import pnorm
+
+    w = spark.createDataFrame([("x", i, i / 10) for i in range(1, 8)] + [("y", 3, 0.9)], "term string, doc_id bigint, w double")
+    queries = spark.createDataFrame([(1, 1.0, 2.0), (2, 2.0, 2.0)], "query_id bigint, m double, p double")
+    terms = spark.createDataFrame([(1, "x", 1), (2, "x", 1), (2, "y", 1)], "query_id bigint, term string, c bigint")
+    every = {(r["query_id"], r["doc_id"]): r["score"] for r in pnorm.score_batch(w, queries, terms).collect()}
+    best = {(r["query_id"], r["doc_id"]) for r in pnorm.score_batch(w, queries, terms, k=3).collect()}
+    assert best == {k for q in (1, 2) for k in sorted((k for k in every if k[0] == q), key=lambda k: (-every[k], k[1]))[:3]}
