@@ -3,8 +3,10 @@
 From all sentences of all texts come a vocabulary trie (known words and their prefixes) and, for the last one to three words
 before every position, how often a further word, a closing mark, or an unmarked end follows. A text that ends without a
 closing mark, or with a mark of omission, is cut off if its last token is an unknown proper prefix of known words, or if
-its last words mostly go on (or, without a mark, mostly go on or close with one). Lengths that gather at a source's limit
-lower the bar. Names and numbers are one word each in contexts.
+its last words mostly go on (or, without a mark, mostly go on or close with one). Texts cut within the same word end alike, so
+an end that others share is one only if it is no rare way on from the words before it: a beginning of known words that hardly ever
+follows them is cut off, however many texts stop there. Lengths that gather at a source's limit lower the bar. Names and numbers
+are one word each in contexts.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from tessera.skew import hot_keys, salted_lookup
 
 #: Other occurrences a context needs, and the share of them that must go on, without and with length evidence.
 MIN_SUPPORT, UNFINISHED, UNFINISHED_AT_LIMIT = 3, 0.5, 0.25
+#: A beginning of longer words is a rare way on if it follows the words before it in less than this share of the cases; where no word
+#: stands before it, if the longer words have more than so many times as many rows as it (and as texts that stop there).
+RARE, LONGER_TIMES = 0.01, 20
 #: Rows a word needs to be known.
 KNOWN_ROWS = 3
 #: A source has a limit wherever at least so many texts have lengths in a window of at most this many characters (or bytes).
@@ -45,10 +50,10 @@ OMISSION = re.compile(r"(?:\s*(?:\[(?:\.\.\.|…)\]|\((?:\.\.\.|…)\)|(?:\.\.\.
 CLOSED = re.compile("(?:[.!?]|[\\U0001F000-\\U0001FAFF☀-➿]|[:;]-?[)(DP]|<3)[\"”’»)\\]]*\\s*$")
 _NAME, _NUMBER, _START, _MARK, _END = (xxhash.xxh64_intdigest(x) >> 1 for x in ("\x00name", "\x00number", "\x00start", "\x00mark", "\x00end"))
 _SCHEMA = pa.schema(
-    [("kind", pa.int32()), ("h", pa.int64()), ("goes_on", pa.int64()), ("closes", pa.int64()), ("stops", pa.int64()), ("doc_id", pa.int64()), ("h2", pa.int64()), ("h1", pa.int64()), ("word", pa.string()), ("omitted", pa.bool_())]
+    [("kind", pa.int32()), ("h", pa.int64()), ("goes_on", pa.int64()), ("closes", pa.int64()), ("stops", pa.int64()), ("doc_id", pa.int64()), ("h2", pa.int64()), ("h1", pa.int64()), ("word", pa.string()), ("omitted", pa.bool_()), ("p2", pa.int64()), ("p1", pa.int64())]
 )
 _LIMITS = pa.schema([("s", pa.string()), ("unit", pa.string()), ("length", pa.int64()), ("n", pa.int64())])
-_DDL = "kind int, h bigint, goes_on bigint, closes bigint, stops bigint, doc_id bigint, h2 bigint, h1 bigint, word string, omitted boolean"
+_DDL = "kind int, h bigint, goes_on bigint, closes bigint, stops bigint, doc_id bigint, h2 bigint, h1 bigint, word string, omitted boolean, p2 bigint, p1 bigint"
 
 
 def mended(text: str) -> str:
@@ -130,7 +135,7 @@ def _counted(hashes: np.ndarray, follows: np.ndarray) -> pa.RecordBatch:
     n = len(first)
     sums = [pa.array(np.add.reduceat((follows == k).astype(np.int64), first)) for k in range(3)]
     empty = lambda t: pa.nulls(n, t)
-    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(hashes[first]), *sums, empty(pa.int64()), empty(pa.int64()), empty(pa.int64()), empty(pa.string()), empty(pa.bool_())], schema=_SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(hashes[first]), *sums, empty(pa.int64()), empty(pa.int64()), empty(pa.int64()), empty(pa.string()), empty(pa.bool_()), empty(pa.int64()), empty(pa.int64())], schema=_SCHEMA)
 
 
 def ending(text: str) -> tuple[str, bool] | None:
@@ -144,7 +149,7 @@ def ending(text: str) -> tuple[str, bool] | None:
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: counts of context h; 1: an open ending of doc_id with its contexts; 2: rows (goes_on) that hold a word."""
+    """kind 0: counts of context h; 1: an open ending of doc_id with its contexts and, as p1 and p2, those of the word before it in the sentence; 2: rows (goes_on) that hold a word."""
     words = _Words()
     rows_with: Counter[int] = Counter()  # by the word's number
     held: list[int] = []
@@ -164,8 +169,9 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = len(at)
                 none = pa.nulls(n, pa.int64())
                 stop = pa.array((follows[at] == 2).astype(np.int64))
+                opens = first[at] | ~is_word[at - 1]  # nothing stands before it in its sentence
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(n, np.int32)), pa.array(h3[at]), none, pa.array((follows[at] == 1).astype(np.int64)), stop, pa.array([x[1] for x in open_ends], pa.int64()), pa.array(h2[at]), pa.array(h1[at]), pa.array([x[2] for x in open_ends]), pa.array([x[3] for x in open_ends])],
+                    [pa.array(np.ones(n, np.int32)), pa.array(h3[at]), none, pa.array((follows[at] == 1).astype(np.int64)), stop, pa.array([x[1] for x in open_ends], pa.int64()), pa.array(h2[at]), pa.array(h1[at]), pa.array([x[2] for x in open_ends]), pa.array([x[3] for x in open_ends]), pa.array(h2[at - 1], mask=opens), pa.array(h1[at - 1], mask=opens)],
                     schema=_SCHEMA,
                 )
         held.clear()
@@ -183,7 +189,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_with.clear()
         n = len(lowered)
         none = lambda t=pa.int64(): pa.nulls(n, t)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), none(), pa.array(list(lowered.values()), pa.int64()), none(), none(), none(), none(), none(), pa.array(list(lowered), pa.string()), none(pa.bool_())], schema=_SCHEMA)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), none(), pa.array(list(lowered.values()), pa.int64()), none(), none(), none(), none(), none(), pa.array(list(lowered), pa.string()), none(pa.bool_()), none(), none()], schema=_SCHEMA)
 
     for batch in batches:
         for key, text, case in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -279,32 +285,39 @@ def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "rich_te
     body = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("body"), case.alias("case"))
     evidence = cut(body.mapInArrow(_evidence, _DDL))
     counts = evidence.where("kind = 0").groupBy("h").agg(F.sum("goes_on").alias("goes_on"), F.sum("closes").alias("closes"), F.sum("stops").alias("stops"))
-    ends = evidence.where("kind = 1").select("doc_id", F.col("h").alias("h3"), "h2", "h1", F.lower("word").alias("word"), "omitted", F.col("closes").alias("own_close"), F.col("stops").alias("own_stop"))
-    long = ends.select("doc_id", "word", "omitted", "own_close", "own_stop", F.explode(F.array(*[F.struct(F.lit(k).alias("words"), F.col(f"h{k}").alias("h")) for k in (1, 2, 3)])).alias("c"))
-    asked = long.select("doc_id", "word", "omitted", "own_close", "own_stop", F.col("c.words").alias("words"), F.col("c.h").alias("h"))
+    ends = evidence.where("kind = 1").select("doc_id", F.col("h").alias("h3"), "h2", "h1", F.lower("word").alias("word"), "omitted", F.col("closes").alias("own_close"), F.col("stops").alias("own_stop"), "p2", "p1")
+    own = ["doc_id", "h3", "p1", "omitted", "own_close", "own_stop"]
+    long = ends.select(*own, F.explode(F.array(*[F.struct(F.lit(k).alias("words"), F.col(c).alias("h")) for k, c in ((1, "h1"), (2, "h2"), (3, "h3"), (-1, "p1"), (-2, "p2"))])).alias("c"))
+    asked = long.select(*own, F.col("c.words").alias("words"), F.col("c.h").alias("h")).where("h is not null")
     hot = hot_keys(asked.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h", F.col("n"), ROWS_PER_TASK)
     met = salted_lookup(asked, counts, "h", hot, F.col("doc_id"))
-    others = F.col("goes_on") + F.col("closes") + F.col("stops") - F.col("own_close") - F.col("own_stop")
+    every = F.col("goes_on") + F.col("closes") + F.col("stops")
+    others = every - F.col("own_close") - F.col("own_stop")
     open_count = F.when(F.col("omitted"), F.col("goes_on")).otherwise(F.col("goes_on") + F.col("closes") - F.col("own_close"))
-    usable = met.select("doc_id", "words", others.alias("support"), (open_count / F.greatest(others, F.lit(1))).alias("unfinished"))
+    usable = met.select("doc_id", "h3", "p1", "words", every.alias("every"), F.col("goes_on").alias("ways"), F.when(F.col("words") > 0, others).alias("support"), (open_count / F.greatest(others, F.lit(1))).alias("unfinished"))
     enough = F.when(F.col("support") >= MIN_SUPPORT, F.col("words"))
-    best = usable.groupBy("doc_id").agg(F.max_by(F.struct("words", "support", "unfinished"), enough).alias("b"), F.max("support").alias("seen"))
+    of = lambda k, c: F.max(F.when(F.col("words") == k, F.col(c)))
+    each = usable.groupBy("doc_id", "h3", "p1").agg(F.max_by(F.struct("words", "support", "unfinished"), enough).alias("b"), F.max("support").alias("seen"), of(3, "every").alias("n3"), of(2, "every").alias("n2"), of(-2, "ways").alias("on2"), of(-1, "ways").alias("on1"))
+    rare = F.when(F.col("b.words") == 3, F.col("n3") < RARE * F.col("on2")).when(F.col("b.words") > 0, F.col("n2") < RARE * F.col("on1"))
+    best = each.groupBy("doc_id").agg(F.max_by("b", "b.words").alias("b"), F.max("seen").alias("seen"), F.max(F.coalesce(rare, F.lit(False))).alias("rare"), F.max(F.col("p1").isNull()).alias("opens"))
     vocabulary = evidence.where("kind = 2").groupBy("word").agg(F.sum("goes_on").alias("n")).where(F.col("n") >= KNOWN_ROWS)
     # the trie as a table of its nodes: every proper prefix of every known word
-    nodes = vocabulary.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.struct(F.substring(F.col("word"), F.lit(1), k).alias("p"), (k == F.length("word")).alias("whole")))).alias("x")).groupBy(F.col("x.p").alias("word")).agg(F.max("x.whole").alias("known"), F.count_if(~F.col("x.whole")).alias("longer"))
+    nodes = vocabulary.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.struct(F.substring(F.col("word"), F.lit(1), k).alias("p"), (k == F.length("word")).alias("whole")))).alias("x")).groupBy(F.col("x.p").alias("word")).agg(F.sum(F.when(F.col("x.whole"), F.col("n"))).alias("alone"), F.sum(F.when(~F.col("x.whole"), F.col("n"))).alias("longer"))
     common = hot_keys(ends.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word", F.col("n"), ROWS_PER_TASK)
-    prefixes = nodes.where("longer > 0 and not known").select("word")
-    tails = salted_lookup(ends.select("doc_id", "word"), prefixes, "word", common, F.col("doc_id")).select("doc_id").distinct().withColumn("unknown_prefix", F.lit(True))
+    prefixes = nodes.where("longer > 0")
+    tails = salted_lookup(ends.select("doc_id", "word"), prefixes, "word", common, F.col("doc_id")).groupBy("doc_id").agg(F.max(F.col("alone").isNull()).alias("unknown_prefix"), F.max("longer").alias("longer"), F.max("alone").alias("alone"))
     limited = at_limit(docs, doc_id, text, source).withColumn("at_limit", F.lit(True))
     letters = F.when(F.col("word").rlike(r"^\p{L}+$"), F.length("word")).otherwise(0)
     open_rows = ends.groupBy("doc_id").agg(F.min("omitted").alias("omitted"), F.min(letters).alias("letters"))
-    judged = open_rows.join(best, "doc_id", "left").join(tails, "doc_id", "left").join(limited, "doc_id", "left").na.fill(False, ["unknown_prefix", "at_limit"])
+    judged = open_rows.join(best, "doc_id", "left").join(tails, "doc_id", "left").join(limited, "doc_id", "left").na.fill(False, ["unknown_prefix", "at_limit", "rare", "opens"])
     bar = F.when(F.col("at_limit"), F.lit(UNFINISHED_AT_LIMIT)).otherwise(F.lit(UNFINISHED))
-    shown = judged.select("doc_id", F.col("b.unfinished").alias("unfinished"), F.coalesce("b.support", F.lit(0)).alias("support"), F.coalesce("b.words", F.lit(0)).alias("words"), F.coalesce("seen", F.lit(0)).alias("seen"), "unknown_prefix", "at_limit", "omitted", "letters", bar.alias("bar"))
+    shown = judged.select("doc_id", F.col("b.unfinished").alias("unfinished"), F.coalesce("b.support", F.lit(0)).alias("support"), F.coalesce("b.words", F.lit(0)).alias("words"), F.coalesce("seen", F.lit(0)).alias("seen"), "unknown_prefix", "at_limit", "omitted", "letters", bar.alias("bar"), "rare", "opens", "longer", "alone")
     unseen = F.col("unfinished").isNull() & (F.col("at_limit") | (~F.col("omitted") & (F.col("seen") == 0)))  # a last word found nowhere else
     letter = (F.col("letters") == 1) & (F.col("words") <= 1)  # one letter, and no context that texts end with
-    cut_off = (F.col("unfinished") > F.col("bar")) | F.col("unknown_prefix") | unseen | letter
-    return shown.where(cut_off).drop("bar", "omitted", "letters", "seen")
+    # others that stop alike were cut alike: the last word begins longer words, and hardly ever stands there
+    alike = F.col("longer").isNotNull() & (F.col("rare") | (F.col("opens") & (F.col("at_limit") | (F.col("longer") > LONGER_TIMES * F.greatest("support", "alone")))))
+    cut_off = (F.col("unfinished") > F.col("bar")) | F.col("unknown_prefix") | unseen | letter | alike
+    return shown.where(cut_off).drop("bar", "omitted", "letters", "seen", "rare", "opens", "longer", "alone")
 
 
 def rates(docs: DataFrame, truncated: DataFrame, source: str = "source") -> DataFrame:

@@ -273,6 +273,14 @@ def test_cut_off_texts(spark):
     assert [(r["source"], r["n_rows"], r["n_truncated"]) for r in share] == [("s", 68, 4)]
 
 
+def test_texts_cut_within_the_same_word(spark):
+    part = "Whoever did the music on this one understood the items. "
+    closed = [part * 4 + ("just go and see it" if k % 3 == 0 else "") for k in range(160)]
+    alike = [part + "Whoever did the music on this on"] * 5 + [part + "Whoever did the music on this on..."] + [part + "Who"] * 4
+    d = docs(spark, *closed, *alike, *["Who saw it twice?"] * 3)  # the pieces are words themselves
+    assert {r["doc_id"] for r in truncation.find_truncated(d).collect()} == set(range(160, 170))
+
+
 def test_limits_below_longer_rows(spark):
     rng = random.Random(3)
     text = lambda n, letters="abcdef ": "".join(rng.choices(letters, k=n - 1)) + "x"
