@@ -178,8 +178,8 @@ def words_of(raws: list[str], evidence: Evidence, own: set[str] | None = None) -
         mask = evidence.marks(raw, form, how)
         if form.isdigit():
             out.append((["number"], 0, 0.0))
-        elif named(raw) and not value:
-            out.append((["name"], mask & (_BIT["disguised"] | _BIT["hidden elsewhere"]), 0.0))
+        elif named(raw) and not value and form not in evidence.disguised:  # nobody disguises a name; German writes all nouns like names
+            out.append((["name"], mask & _BIT["disguised"], 0.0))
         else:
             if not value and len(form) > STEM:
                 value = STEM_SHARE * evidence.value("^" + form[:STEM], int(own is not None and "^" + form[:STEM] in own))
@@ -384,11 +384,18 @@ class Tagger:
         if k == len(self.masks):
             self.table = np.concatenate((self.table, np.empty_like(self.table)))
             self.masks = np.concatenate((self.masks, np.empty_like(self.masks)))
-        ((names, mask, value),) = words_of([raw], self.field.evidence)
-        self.table[k] = self.field.total([*own_names(names, mask), "bias"]), value
-        self.masks[k] = mask
+        self.masks[k], *self.table[k] = max((self.reading(x) for x in {raw, self.undisguised(raw)}), key=lambda x: x[1] + self.field.evidence_weights[0] * x[2])
         return k
 
+    def reading(self, raw: str) -> tuple[int, float, float]:
+        ((names, mask, value),) = words_of([raw], self.field.evidence)
+        return mask, self.field.total([*own_names(names, mask), "bias"]), value
+
+    def undisguised(self, raw: str) -> str:
+        """The word in plain letters where the corpus writes it both ways: a disguise makes no word milder. Others as they are."""
+        form, how = plain(raw)
+        return form if how and form in self.field.evidence.disguised else raw
+
     def score(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(P(a toxic word) of each sentence, P(toxic) of all words)."""
         number, add = self.number, self.add
@@ -454,7 +461,7 @@ def _forms(wanted: set[str]):
                     if known is None:
                         form, how = plain(raw)
                         stem = "^" + form[:STEM] if len(form) > STEM else ""
-                        known = seen[raw] = form if not named(raw) or form in wanted else "", how, stem if stem in wanted else ""
+                        known = seen[raw] = form, how, stem if stem in wanted else ""
                     form, how, stem = known
                     if how == "":
                         here.add(form)

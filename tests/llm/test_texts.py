@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -377,6 +378,17 @@ def test_words_disguised_elsewhere_are_counted_in_all_rows(spark):
     assert (rows, n, disguised) == ({"fool": 2, "there": 1}, 4, {"fool"})
 
 
+def test_a_disguise_makes_no_word_milder_and_capitals_no_name_of_it(spark):
+    d = docs(spark, *["Sie ist eine dumme Schlampe ohne Talent."] * 3, "Eine dumme S.c.h.l.a.m.p.e wie immer.", "Herr Dick kommt.")
+    rows, n, disguised = abuse.corpus_forms(d, "rich_text", set())
+    assert (rows, n, disguised) == ({}, 5, {"schlampe"})
+    evidence = abuse.Evidence([({"a"}, 1), ({"b"}, 0)], rows, n, disguised, abuse.LEXICON)
+    weights = {"bias": -3.0, "word": 0.5, "how gaps": -1.0, "own hidden elsewhere": 2.0, "own disguised": 1.0, "evidence": 0.1, "evidence around": 0.1}
+    tagger = abuse.Tagger(abuse.Field(weights, np.zeros((2, 2)), 0.0, evidence))
+    scores, _ = tagger.score([["dumme", w] for w in ("schlampe", "Schlampe", "\x01Schlampe", "Dick")])
+    assert scores[0] > 0 and scores[1] == scores[0] and scores[2] >= scores[0] and scores[3] < 1e-6
+
+
 def test_sentences():
     assert samples.sentences("One. Two!? Three…\nfour") == ["One.", "Two!?", "Three…", "four"]
 
