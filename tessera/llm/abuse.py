@@ -23,9 +23,11 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,11 +49,14 @@ HIDDEN_SHARE = 0.2
 COMMON, DOUBTED = 2.0, 0.7
 #: A document whose worst sentence reaches this counts as abusive; kinds of abuse that the sample lacks score little.
 THRESHOLD = 0.15
-#: Bounds on what is fitted: labelled snippets, unlabelled documents taken as clean (and characters of each), words written in disguise.
+#: Bounds on what is fitted: labelled snippets, unlabelled documents taken as clean (and characters of each). The last: how many words
+#: written in disguise, the most frequent, every task holds; each document brings those of the others that it has.
 MAX_SAMPLE, BACKGROUND_ROWS, BACKGROUND_CHARS, MAX_DISGUISED = 20_000, 1_000, 2_000, 20_000
 #: Words on either side that count as around.
 REACH = 8
 NEVER = -30.0
+#: Bits of the filter that says which words may be among the others.
+FILTER_BITS = 1 << 24
 CHUNK_WORDS = 120_000
 HELD_WORDS = 400_000
 
@@ -366,11 +371,24 @@ def _joint(a: np.ndarray, b: np.ndarray, k: float) -> np.ndarray:
     return (s - np.sqrt(np.maximum(0.0, s * s - 4 * k * (k - 1) * a * b))) / (2 * (k - 1))
 
 
+class Either:
+    """Whether one of two sets has a word."""
+
+    def __init__(self, a: set[str], b: set[str]) -> None:
+        self.a, self.b = a, b
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.a or word in self.b
+
+
 class Tagger:
     """Applies a field to many sentences at a time; words seen before are looked up."""
 
     def __init__(self, field: Field) -> None:
         self.field = field
+        self.brought: set[str] = set()  # words written in disguise elsewhere that the field does not hold and the texts bring
+        self.evidence = copy(field.evidence)
+        self.evidence.disguised = Either(field.evidence.disguised, self.brought)
         self.pairs: dict[tuple[int, int], float] = {}
         self.reset()
 
@@ -388,13 +406,13 @@ class Tagger:
         return k
 
     def reading(self, raw: str) -> tuple[int, float, float]:
-        ((names, mask, value),) = words_of([raw], self.field.evidence)
+        ((names, mask, value),) = words_of([raw], self.evidence)
         return mask, self.field.total([*own_names(names, mask), "bias"]), value
 
     def undisguised(self, raw: str) -> str:
         """The word in plain letters where the corpus writes it both ways: a disguise makes no word milder. Others as they are."""
         form, how = plain(raw)
-        return form if how and form in self.field.evidence.disguised else raw
+        return form if how and form in self.evidence.disguised else raw
 
     def score(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(P(a toxic word) of each sentence, P(toxic) of all words)."""
@@ -480,29 +498,83 @@ def _forms(wanted: set[str]):
     return run
 
 
-def corpus_forms(docs: DataFrame, text: str, wanted: set[str]) -> tuple[dict[str, int], int, set[str]]:
-    """(rows of each wanted form, rows with text, words that other rows write in disguise).
+def counted_forms(docs: DataFrame, text: str, wanted: set[str]) -> tuple[dict[str, int], int, DataFrame]:
+    """(rows of each wanted form, rows with text, form and d of the words that other rows write in disguise).
 
-    All rows are counted, combined in each task before the shuffle. Collected are the wanted forms, as many as the sample has, and at
-    most MAX_DISGUISED words, those most often disguised.
+    All rows are counted, combined in each task before the shuffle. Collected are the wanted forms only, as many as the sample has.
     """
     asked = docs.sparkSession.sparkContext.broadcast(wanted)
     counted = docs.select(F.col(text).alias("body")).mapInArrow(lambda b: _forms(asked.value)(b), "form string, n bigint, d bigint, wanted boolean")
     total = cut(counted.groupBy("form").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.max("wanted").alias("wanted")).where((F.col("form") == "") | F.col("wanted") | ((F.col("d") > 0) & (F.col("n") > 0))))
     rows = {r["form"]: r["n"] for r in total.where((F.col("form") == "") | F.col("wanted")).collect()}
     hidden = total.where((F.col("n") > 0) & (F.col("d") >= HIDDEN_SHARE * (F.col("n") + F.col("d"))) & (F.length("form") > 2))
-    disguised = {r["form"] for r in hidden.orderBy(F.desc("d"), "form").limit(MAX_DISGUISED).collect()}
-    return rows, rows.pop("", 0), disguised
+    return rows, rows.pop("", 0), hidden.select("form", "d")
 
 
-def fitted(docs: DataFrame, samples: DataFrame, clean: DataFrame | None, doc_id: str, text: str, lexicon: dict[str, str] = LEXICON) -> Field:
-    """A field fitted to the labelled snippets and to what all documents say of their words."""
+def most_hidden(hidden: DataFrame) -> tuple[set[str], DataFrame | None]:
+    """The MAX_DISGUISED words that most rows disguise, and a table of all the others, None if there are none."""
+    first = hidden.orderBy(F.desc("d"), "form").limit(MAX_DISGUISED + 1).collect()
+    if len(first) <= MAX_DISGUISED:
+        return {r["form"] for r in first}, None
+    after = first.pop()
+    rest = (F.col("d") < after["d"]) | ((F.col("d") == after["d"]) & (F.col("form") >= after["form"]))
+    return {r["form"] for r in first}, hidden.where(rest).select("form")
+
+
+def corpus_forms(docs: DataFrame, text: str, wanted: set[str]) -> tuple[dict[str, int], int, set[str]]:
+    """(rows of each wanted form, rows with text, the words that most other rows write in disguise: see most_hidden)."""
+    rows, n, hidden = counted_forms(docs, text, wanted)
+    return rows, n, most_hidden(hidden)[0]
+
+
+def with_hidden(body: DataFrame, rest: DataFrame) -> DataFrame:
+    """``body`` (doc_id, body) with the words of each text that are in ``rest`` (form), which may be of any size.
+
+    A filter of FILTER_BITS bits lets through little more than the pairs of a text and such a word; a join decides. A word of ``rest`` is
+    in few rows: at most 1 / HIDDEN_SHARE times those that disguise it.
+    """
+    bit = F.pmod(F.xxhash64("form"), F.lit(FILTER_BITS))
+    filled = rest.select(bit.alias("b")).groupBy(F.shiftright("b", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(b & 7 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits[filled.column("at").to_numpy()] = filled.column("bits").to_numpy()
+    shared = body.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = shared.value
+        for batch in batches:
+            keys, forms = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raws = {w for w, _, _ in tokens(text)} if _ODD.search(text) else set(_TOKEN.findall(text))
+                for form in {plain(raw)[0] for raw in raws}:
+                    b = xxhash.xxh64_intdigest(form, seed=42) % FILTER_BITS  # as xxhash64 has it
+                    if kept[b >> 3] >> (b & 7) & 1:
+                        keys.append(key)
+                        forms.append(form)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(forms, pa.string())], names=["same", "form"])
+
+    keyed = body.where(F.length("body") > 0).withColumn("same", F.xxhash64("body"))  # equal texts have equal words
+    met = keyed.select("same", "body").mapInArrow(run, "same bigint, form string").join(rest, "form").groupBy("same").agg(F.collect_set("form").alias("hidden"))
+    return keyed.join(met, "same", "left").select("doc_id", "body", "hidden")
+
+
+def fitted_with_rest(docs: DataFrame, samples: DataFrame, clean: DataFrame | None, doc_id: str, text: str, lexicon: dict[str, str]) -> tuple[Field, DataFrame | None]:
+    """The field, and the words written in disguise that it does not hold (see most_hidden)."""
     known = [(r[0], int(r[1])) for r in samples.where("text is not null and abusive is not null").select("text", "abusive").orderBy("abusive", "text").limit(MAX_SAMPLE).collect()]
     if clean is not None:
         known += [(r[0], 0) for r in clean.where("text is not null").select("text").orderBy("text").limit(MAX_SAMPLE).collect()]
     wanted = with_stems({plain(w)[0] for t, _ in known for w, _, _ in tokens(t)})
-    rows, n, disguised = corpus_forms(docs, text, wanted)
-    return fit(known, hashed_texts(docs, doc_id, text, BACKGROUND_ROWS, n, BACKGROUND_CHARS), rows, n, disguised, lexicon)
+    rows, n, hidden = counted_forms(docs, text, wanted)
+    background = hashed_texts(docs, doc_id, text, BACKGROUND_ROWS, n, BACKGROUND_CHARS)
+    disguised, rest = most_hidden(hidden)
+    if rest is not None:  # those of the texts it is fitted to
+        met = sorted({plain(w)[0] for t in [*(t for t, _ in known), *background] for w, _, _ in tokens(t)})
+        disguised |= {r["form"] for r in rest.join(docs.sparkSession.createDataFrame([(x,) for x in met], "form string"), "form", "left_semi").collect()}
+    return fit(known, background, rows, n, disguised, lexicon), rest
+
+
+def fitted(docs: DataFrame, samples: DataFrame, clean: DataFrame | None, doc_id: str, text: str, lexicon: dict[str, str] = LEXICON) -> Field:
+    """A field fitted to the labelled snippets and to what all documents say of their words."""
+    return fitted_with_rest(docs, samples, clean, doc_id, text, lexicon)[0]
 
 
 def tag(docs: DataFrame, samples: DataFrame, clean: DataFrame | None = None, doc_id: str = "doc_id", text: str = "rich_text", threshold: float = THRESHOLD, lexicon: dict[str, str] = LEXICON) -> DataFrame:
@@ -514,7 +586,8 @@ def tag(docs: DataFrame, samples: DataFrame, clean: DataFrame | None = None, doc
     further snippets (text) that are known to be clean, as many again. ``lexicon`` gives words by head (see LEXICON; {} for none). The
     field is fitted when this is called.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, samples, clean, doc_id, text, lexicon))
+    field, rest = fitted_with_rest(docs, samples, clean, doc_id, text, lexicon)
+    shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
@@ -552,12 +625,14 @@ def tag(docs: DataFrame, samples: DataFrame, clean: DataFrame | None = None, doc
             bounds.clear()
             if len(tagger.number) > HELD_WORDS:
                 tagger.reset()
+                tagger.brought.clear()
             return pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
         for batch in batches:
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, body, hidden in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not body:
                     continue
+                tagger.brought.update(hidden or ())
                 odd = _ODD.search(body) is not None
                 n = 0
                 for a, b in sentences_of(body):
@@ -577,7 +652,8 @@ def tag(docs: DataFrame, samples: DataFrame, clean: DataFrame | None = None, doc
             yield flush()
 
     body = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("body"))
-    return body.mapInArrow(run, _DDL)
+    none = F.lit(None).cast("array<string>")
+    return (body.withColumn("hidden", none) if rest is None else with_hidden(body, rest)).mapInArrow(run, _DDL)
 
 
 def rates(docs: DataFrame, tagged: DataFrame, source: str = "source", threshold: float = THRESHOLD) -> DataFrame:

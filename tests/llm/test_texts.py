@@ -389,6 +389,23 @@ def test_a_disguise_makes_no_word_milder_and_capitals_no_name_of_it(spark):
     assert scores[0] > 0 and scores[1] == scores[0] and scores[2] >= scores[0] and scores[3] < 1e-6
 
 
+def test_words_in_disguise_beyond_those_held(spark, monkeypatch):
+    words = ["grumpf", "zwackel", "krötig", "blubb"]
+    texts = [t for k, w in enumerate(words) for t in [f"you {'.'.join(w)} there"] * (4 - k) + [f"such a {w} again"]]
+    d = docs(spark, *texts, None, "", "nothing here").unionByName(docs(spark, texts[0]).selectExpr("null as doc_id", "text", "rich_text", "lang", "source", "score"))
+    sample = spark.createDataFrame([("you worthless grumpf, such a grumpf", 1), ("you are worthless", 1), ("nothing here", 0), ("warm music there", 0)], "text string, abusive int")
+    tagged = lambda: sorted(map(str, abuse.tag(d, sample, lexicon={}).collect()))
+    monkeypatch.setattr(abuse, "BACKGROUND_ROWS", 0)  # what is fitted has none of the others
+    whole = tagged()
+    assert abuse.corpus_forms(d, "rich_text", set())[2] == {"grumpf", "zwackel", "krotig", "blubb"}
+    monkeypatch.setattr(abuse, "MAX_DISGUISED", 1)
+    first, rest = abuse.most_hidden(abuse.counted_forms(d, "rich_text", set())[2])
+    assert first == {"grumpf"} and {r["form"] for r in rest.collect()} == {"zwackel", "krotig", "blubb"}
+    brought = abuse.with_hidden(d.selectExpr("doc_id", "rich_text as body"), rest).where("hidden is not null").collect()
+    assert len(brought) == 9 and all(abuse.folded(r["body"].replace(".", "")).find(*r["hidden"]) >= 0 for r in brought)
+    assert tagged() == whole and len(whole) == len(texts) + 2
+
+
 def test_sentences():
     assert samples.sentences("One. Two!? Three…\nfour") == ["One.", "Two!?", "Three…", "four"]
 
